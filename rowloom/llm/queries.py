@@ -37,6 +37,18 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(_documents(spark, sf_dir))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import drop_repeated_words
+
+    return drop_repeated_words(_documents(spark, sf_dir), digest=True)
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import drop_repeated_bytes
+
+    return drop_repeated_bytes(_documents(spark, sf_dir), digest=True)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -49,5 +61,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op3_token_counts, op6_pii, op9_packing, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op3_token_counts, op6_pii, op7_substring_dedup, op8_suffix_dedup, op9_packing, op10_exact_dedup)}
 ORACLES: dict[str, str] = {}
