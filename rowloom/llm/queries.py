@@ -31,6 +31,19 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encoding_report
+
+    return encoding_report(_documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, train
+
+    docs = _documents(spark, sf_dir)
+    return identify(docs, train(docs, tokenizer("piece_bpe_32k.model")))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import pii_report
 
@@ -61,5 +74,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op3_token_counts, op6_pii, op7_substring_dedup, op8_suffix_dedup, op9_packing, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op3_token_counts, op4_sentencepiece, op5_language_id, op6_pii, op7_substring_dedup, op8_suffix_dedup, op9_packing, op10_exact_dedup)}
 ORACLES: dict[str, str] = {}
