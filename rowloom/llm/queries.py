@@ -25,6 +25,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_documents(spark, sf_dir))
 
 
+def op2_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries are the whole texts of every document whose id is divisible by 100."""
+    from pyspark.sql import functions as F
+
+    from .bm25 import top_k
+
+    docs = _documents(spark, sf_dir)
+    return top_k(docs, docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import token_counts
 
@@ -74,5 +84,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op3_token_counts, op4_sentencepiece, op5_language_id, op6_pii, op7_substring_dedup, op8_suffix_dedup, op9_packing, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_bm25, op3_token_counts, op4_sentencepiece, op5_language_id, op6_pii, op7_substring_dedup, op8_suffix_dedup, op9_packing, op10_exact_dedup)}
 ORACLES: dict[str, str] = {}
