@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
+from sys import byteorder
+from unicodedata import is_normalized
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import keyed_text, real_id, scratch_path
 
-#: Entries of a worker's cache of encoded words. It is emptied when full, so its memory is bounded.
+#: Entries of a generation of a worker's cache of encoded words. Two are kept, so its memory is bounded.
 WORDS_KEPT = 300_000
 #: Texts are split into words for so many bytes at a time.
 CHUNK_BYTES = 2_000_000
@@ -25,6 +29,40 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
+def _byte_chars() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else one from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    at = dict(zip(shown + hidden, shown + [256 + i for i in range(len(hidden))], strict=True))
+    return [chr(at[b]) for b in range(256)]
+
+
+_BYTE_CHARS = _byte_chars()
+
+
+def _is_plain(text: str) -> bool:
+    """Latin letters alone, lower-case and composed: normalising and splitting leave them as one piece."""
+    return text.isalpha() and max(text) < "\u0250" and text == text.lower() and is_normalized("NFC", text)
+
+
+class Generations(dict):
+    """A cache of what ``make`` gives for a key. When full it becomes the old generation, from which what is used comes back."""
+
+    def __init__(self, make, kept: int):
+        super().__init__()
+        self.make, self.kept, self.old = make, kept, {}
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(self) >= self.kept:
+            self.old = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer of the ``tokenizers`` library that drops white space.
 
@@ -41,55 +79,39 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.words: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
+        # the model can be asked directly for plain words: letters that the tokenizer lower-cases, keeps together and spells in bytes
+        shape = json.loads(self.library.to_str())
+        self.plain = [n["type"] for n in (shape["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in (shape["pre_tokenizer"] or {}).get("pretokenizers", [])] == ["Split", "ByteLevel"]
+        self.words = Generations(self._word, WORDS_KEPT)
+        self.ends = Generations(self._whole, 10_000)
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        import numpy as np
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes() if byteorder == "little" else b"".join(i.to_bytes(4, "little") for i in ids)
 
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+    def _whole(self, word: bytes) -> bytes:
+        return self._packed(self.library.encode(word.decode(), add_special_tokens=False).ids)
 
-    @staticmethod
-    def _parted(word: bytes) -> tuple[bytes, bytes]:
-        """A word without capitals and its closing marks, where both can be encoded apart with the same ids."""
-        if not word.isascii() or b"<|" in word:
-            return word, b""
-        word = word.lower()
+    def _word(self, word: bytes) -> bytes:
+        """The ids of a word. One of plain letters and closing marks is encoded apart from its marks, by the model alone."""
+        if not self.plain:
+            return self._whole(word)
         core = word.rstrip(_ENDS)
-        return (core, word[len(core):]) if core and core[-1:].isalnum() else (word, b"")
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > WORDS_KEPT:
-            self.words.clear()
-        if len(self.cores) > WORDS_KEPT:
-            self.cores.clear()
-        new = [w for w in words if w not in self.words]
-        parted = [self._parted(w) for w in new]
-        missing = list({p for both in parted for p in both if p and p not in self.cores})
-        for i in range(0, len(missing), 10_000):
-            self.cores.update(zip(missing[i : i + 10_000], self._encode(missing[i : i + 10_000]), strict=True))
-        self.cores[b""] = b""
-        cores = self.cores
-        self.words.update((w, cores[a] + cores[b]) for w, (a, b) in zip(new, parted, strict=True))
+        if core.isalpha():  # ASCII letters
+            spelled = core.lower().decode()
+        else:
+            low = core.decode().lower()
+            if not _is_plain(low):
+                return self._whole(word)
+            spelled = "".join(map(_BYTE_CHARS.__getitem__, low.encode()))
+        ids = self._packed([t.id for t in self.library.model.tokenize(spelled)])
+        return ids if len(core) == len(word) else ids + self.ends[word[len(core) :]]
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text; null gives none."""
-        held: list[list[bytes]] = []
-        size = 0
-        for t in texts:
-            words = (t or "").encode("utf-8", "replace").split()
-            held.append(words)
-            size += len(t or "")
-            if size > CHUNK_BYTES:
-                yield from self._joined(held)
-                held, size = [], 0
-        yield from self._joined(held)
-
-    def _joined(self, held: list[list[bytes]]) -> Iterator[bytes]:
-        self.learn(set().union(*held) if held else set())
         get = self.words.__getitem__
-        for words in held:
-            yield b"".join(map(get, words))
+        for t in texts:
+            yield b"".join(map(get, (t or "").encode("utf-8", "replace").split()))
 
 
 _encoders: dict[tuple[str, str], WordEncoder] = {}
