@@ -4,16 +4,24 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from sys import byteorder
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import keyed_text, real_id
-from .tokens import CHUNK_BYTES, WORDS_KEPT, encoder
+from .tokens import WORDS_KEPT, encoder
 
 MARK = "▁"
+#: What stands before the first piece of a word.
+START = -(1 << 30)
+#: Pairs of pieces that a worker remembers as apart or not.
+PAIRS_KEPT = 600_000
+#: Characters of text whose words are sorted together.
+CHUNK = 8_000_000
 _WORD = re.compile(" +[^ ]*")
 
 
@@ -60,13 +68,44 @@ class Trie:
 
     def __init__(self, model: Model):
         self.model = model
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.visited = 0
-
-    def merged(self, chars: list[str]) -> list[str]:
+        # an automaton over all pieces: where a character leads, the longest shorter suffix, the pieces that end here (longest first)
+        self.goto: list[dict[str, int]] = [{}]
+        self.ends: list[list[tuple[int, int]]] = [[]]
+        for piece, i in model.ids.items():
+            node = 0
+            for c in piece:
+                if c not in self.goto[node]:
+                    self.goto[node][c] = len(self.goto)
+                    self.goto.append({})
+                    self.ends.append([])
+                node = self.goto[node][c]
+            self.ends[node].append((len(piece), i))
+        self.shorter = [0] * len(self.goto)
+        level = list(self.goto[0].values())
+        while level:
+            below = []
+            for node in level:
+                self.ends[node] += self.ends[self.shorter[node]]
+                for c, child in self.goto[node].items():
+                    self.shorter[child] = self._step(self.shorter[node], c)
+                    below.append(child)
+            level = below
+
+    def _step(self, node: int, c: str) -> int:
+        while True:
+            to = self.goto[node].get(c)
+            if to is not None:
+                return to
+            if not node:
+                return 0
+            node = self.shorter[node]
+
+    def merged(self, text: str) -> list[str]:
         """BPE by definition: join the neighbours of best score, the leftmost of equals, until none join."""
         ids, scores = self.model.ids, self.model.scores
-        parts = list(chars)
+        parts = list(text)
         while True:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -77,26 +116,29 @@ class Trie:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def stays_apart(self, left: str, right: str) -> bool:
-        """Whether BPE over both pieces' characters gives just these two pieces."""
-        key = (left, right)
-        got = self.apart.get(key)
-        if got is None:
-            if len(self.apart) > WORDS_KEPT:
-                self.apart.clear()
-            got = self.apart[key] = self.merged(list(left + right)) == [left, right]
+    def _text(self, i: int) -> str:
+        return self.model.pieces[i] if i >= 0 else chr(~i)
+
+    def _stays_apart(self, left: int, right: int) -> bool:
+        """Whether BPE over both pieces' characters gives just these two pieces; ``left`` 0 is the start of a word."""
+        if len(self.apart) > PAIRS_KEPT:
+            self.apart.clear()
+        r = self._text(right)
+        got = self.merged(r) == [r] if left == START else self.merged(self._text(left) + r) == [self._text(left), r]
+        self.apart[left << 24 | right] = got
         return got
 
     def encode(self, words: list[str]) -> Iterator[list[int]]:
         """The ids of each of the sorted words, in which blanks are marks."""
         m = self.model
-        ids, longest = m.ids, m.longest
-        # state of each prefix of the word before: (start of its last piece, score)
-        states: list[tuple[int, float]] = [(0, 0.0)]
+        unigram, apart, goto, shorter, ends = m.unigram, self.apart, self.goto, self.shorter, self.ends
+        # state of each prefix of the word before: start and id of its last piece (the complement of the
+        # code point where no piece covers it), score, and the automaton's node
+        states: list[tuple] = [(0, START, 0.0, 0)]
         before = ""
         for word in words:
-            if not m.unigram and word.startswith(MARK * 2):  # runs of marks have pieces of equal score
-                yield self._ids(self.merged(list(word)))
+            if not unigram and word.startswith(MARK * 2):  # runs of marks have pieces of equal score
+                yield self._ids([m.ids.get(p, ~ord(p[0])) for p in self.merged(word)])
                 continue
             shared = 0
             for a, b in zip(word, before, strict=False):
@@ -104,41 +146,40 @@ class Trie:
                     break
                 shared += 1
             del states[shared + 1 :]
+            self.visited += len(word) - shared
+            node = states[shared][3]
             for end in range(shared + 1, len(word) + 1):
-                self.visited += 1
-                states.append(self._best(word, end, states, ids, longest) if m.unigram else self._last(word, end, states, ids, longest))
+                c = word[end - 1]
+                while (to := goto[node].get(c)) is None and node:
+                    node = shorter[node]
+                node = to or 0
+                start, last = end - 1, ~ord(c)
+                score = states[start][2] + m.least - 10.0 if unigram else 0.0  # of an unknown character
+                for length, i in ends[node]:
+                    if unigram:
+                        now = states[end - length][2] + m.scores[i]
+                        if now > score:
+                            start, last, score = end - length, i, now
+                        continue
+                    left = states[end - length][1]
+                    fits = apart.get(left << 24 | i)
+                    if self._stays_apart(left, i) if fits is None else fits:
+                        start, last = end - length, i
+                        break
+                states.append((start, last, score, node))
             before = word
-            parts, end = [], len(word)
+            ids, end = [], len(word)
             while end:
-                start = states[end][0]
-                parts.append(word[start:end])
-                end = start
-            yield self._ids(parts[::-1])
-
-    def _best(self, word, end, states, ids, longest) -> tuple[int, float]:
-        best = (end - 1, states[end - 1][1] + self.model.least - 10.0)  # an unknown character
-        for start in range(end - 1, max(0, end - longest) - 1, -1):
-            i = ids.get(word[start:end])
-            if i is not None and (score := states[start][1] + self.model.scores[i]) > best[1]:
-                best = (start, score)
-        return best
-
-    def _last(self, word, end, states, ids, longest) -> tuple[int, float]:
-        for start in range(max(0, end - longest), end):
-            piece = word[start:end]
-            if piece in ids or start == end - 1:
-                if not start:
-                    if start == end - 1 or self.merged(list(piece)) == [piece]:
-                        return (0, 0.0)
-                elif self.stays_apart(word[states[start][0] : start], piece):
-                    return (start, 0.0)
-        raise AssertionError("every prefix has a last piece")
-
-    def _ids(self, parts: list[str]) -> list[int]:
-        out = []
-        for p in parts:
-            i = self.model.ids.get(p)
-            out += self.model.spelled(p) if i is None else [i]
+                end, i = states[end][:2]
+                ids.append(i)
+            yield self._ids(ids[::-1])
+
+    def _ids(self, found: list[int]) -> list[int]:
+        if min(found) >= 0:
+            return found
+        out: list[int] = []
+        for i in found:
+            out += [i] if i >= 0 else self.model.spelled(chr(~i))
         return out
 
 
@@ -149,13 +190,17 @@ class PieceEncoder:
         self.model = Model(path, unigram)
         self.trie = Trie(self.model)
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
         if len(self.words) + len(words) > WORDS_KEPT:
-            self.words.clear()
-        new = sorted((w.replace(" ", MARK), w) for w in words if w not in self.words)
-        for (_, w), ids in zip(new, self.trie.encode([m for m, _ in new]), strict=True):
-            self.words[w] = np.array(ids, dtype="<u4").tobytes()
+            self.old, self.words = self.words, {}
+        new = words - self.words.keys()
+        known = new & self.old.keys()
+        self.words.update((w, self.old[w]) for w in known)
+        marked = sorted((w.replace(" ", MARK), w) for w in new - known)
+        for (_, w), ids in zip(marked, self.trie.encode([m for m, _ in marked]), strict=True):
+            self.words[w] = array("I", ids).tobytes() if byteorder == "little" else np.array(ids, "<u4").tobytes()
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null and empty have none."""
@@ -164,7 +209,7 @@ class PieceEncoder:
         for t in texts:
             held.append(_WORD.findall(" " + t.replace(MARK, " ")) if t else [])
             size += len(t or "")
-            if size > CHUNK_BYTES:
+            if size > CHUNK:
                 yield from self._joined(held)
                 held, size = [], 0
         yield from self._joined(held)

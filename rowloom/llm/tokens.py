@@ -18,8 +18,6 @@ from .common import keyed_text, real_id, scratch_path
 
 #: Entries of a generation of a worker's cache of encoded words. Two are kept, so its memory is bounded.
 WORDS_KEPT = 300_000
-#: Texts are split into words for so many bytes at a time.
-CHUNK_BYTES = 2_000_000
 _ENDS = b".,!?;:#$%&*|"
 
 
