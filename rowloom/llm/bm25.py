@@ -16,7 +16,7 @@ K1, B = 1.2, 0.75
 #: Scores are sums of whole ten-thousandths, so that no order of summing changes a rank.
 UNIT = 10_000
 #: A shard ends at so many documents or bytes of text; so many documents make a block.
-SHARD_DOCS, SHARD_BYTES, BLOCK = 8192, 24_000_000, 16
+SHARD_DOCS, SHARD_BYTES, BLOCK = 4096, 12_000_000, 16
 #: Terms of queries that are broadcast at a time (16 bytes each); more queries make more blocks of queries.
 QUERY_TERMS = 2_000_000
 _SHARD = "docs binary, lengths binary, terms binary, starts binary, members binary, uses binary, n long, words long"
@@ -232,7 +232,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     asked = stored(queries.select(F.col("query_id").cast("long").alias("query"), F.col("text")).where("query is not null").mapInArrow(_query_terms, "query long, term long").distinct(), "query-terms")
     size = index.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
     n, average = size["n"], max(1e-9, size["words"] / max(1, size["n"]))
-    frequency = index.select("terms", "starts").mapInArrow(_frequencies, "term long, df long").join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    frequency = index.select("terms", "starts").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     blocks = max(1, -(-asked.count() // QUERY_TERMS))
     weighed = stored(asked.join(frequency, "term").select("query", "term", "df", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block")), "queries")
     out = None

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed_text, real_id, stored
-from .pieces import MARK, Model
+from .pieces import MARK, Automaton, Model
 from .tokens import WORDS_KEPT
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -43,31 +43,32 @@ def parts_of(word: str) -> list[str]:
     return out
 
 
+class Vocabulary:
+    """The pieces that end at each node of their automaton, in flat arrays; a node without a piece of
+    one character has the unknown one."""
+
+    def __init__(self, vocab: dict[str, int]):
+        self.automaton = Automaton(vocab)
+        ends = [e if any(n == 1 for n, _ in e) else [*e, (1, 0)] for e in self.automaton.ends]
+        self.first = np.concatenate(([0], np.cumsum([len(e) for e in ends])))
+        self.lengths = np.array([n for e in ends for n, _ in e], np.int64)
+        self.ids = np.array([i for e in ends for _, i in e], np.int64)
+
+
 class Lattice:
     """All segmentations of some words: edges (word, start, end, piece) by end."""
 
-    def __init__(self, words: list[str], vocab: dict[str, int]):
-        w, s, e, p = [], [], [], []
-        get = vocab.get
-        for n, word in enumerate(words):
-            for end in range(1, len(word) + 1):
-                known = False
-                for start in range(max(0, end - LONGEST), end):
-                    i = get(word[start:end])
-                    if i is not None:
-                        w.append(n)
-                        s.append(start)
-                        e.append(end)
-                        p.append(i)
-                        known |= start == end - 1
-                if not known:
-                    w.append(n)
-                    s.append(end - 1)
-                    e.append(end)
-                    p.append(0)
-        self.w, self.s, self.e, self.p = (np.array(x, np.int64) for x in (w, s, e, p))
-        self.length = np.array([len(x) for x in words], np.int64)
-        self.n, self.most = len(words), max(map(len, words), default=0)
+    def __init__(self, words: list[str], vocab: dict[str, int] | Vocabulary):
+        v = vocab if isinstance(vocab, Vocabulary) else Vocabulary(vocab)
+        self.length = np.fromiter(map(len, words), np.int64, len(words))
+        self.n, self.most = len(words), int(self.length.max(initial=0))
+        node = np.array(v.automaton.walk(words), np.int64)
+        word = np.repeat(np.arange(self.n), self.length)
+        end = np.arange(len(node)) - np.repeat(np.cumsum(self.length) - self.length, self.length) + 1
+        count = v.first[node + 1] - v.first[node]
+        at = np.repeat(v.first[node] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        self.w, self.e, self.p = np.repeat(word, count), np.repeat(end, count), v.ids[at]
+        self.s = self.e - v.lengths[at]
 
     def _by(self, key: np.ndarray) -> list[np.ndarray]:
         order = np.argsort(key * self.n + self.w, kind="stable") if self.n else np.zeros(0, np.int64)
@@ -121,7 +122,7 @@ class Scorer:
     """A worker's scores of words, kept in a table of bounded size."""
 
     def __init__(self, model: LanguageModel):
-        self.model, self.vocab = model, vocabulary(model.vocab_path)
+        self.model, self.vocab = model, Vocabulary(vocabulary(model.vocab_path))
         self._clear()
 
     def _clear(self) -> None:
@@ -133,6 +134,7 @@ class Scorer:
         if len(self.rows) + len(words) > WORDS_KEPT:
             self._clear()
         new = [w for w in words if w not in self.rows]
+        numbers: dict[str, int] = {}  # of the distinct parts
         parts, owner = [], []
         for w in new:
             own = parts_of(w.decode("utf-8", "replace"))
@@ -140,21 +142,22 @@ class Scorer:
                 self.rows[w] = 0
                 continue
             self.rows[w] = self.used
-            parts += own
-            owner += [self.used] * len(own)
+            for p in own:
+                parts.append(numbers.setdefault(p, len(numbers)))
+                owner.append(self.used)
             self.used += 1
         while len(self.scores) < self.used:
             self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
-        owners = np.array(owner, np.int64)
-        for i in range(0, len(parts), 5000):
-            logs = np.log(np.maximum(Lattice(parts[i : i + 5000], self.vocab).totals(self.model.prob), 1e-300))
-            np.add.at(self.scores, owners[i : i + 5000], logs)
+        if numbers:
+            ordered = list(numbers)
+            logs = [np.log(np.maximum(Lattice(ordered[i : i + 5000], self.vocab).totals(self.model.prob), 1e-300)) for i in range(0, len(ordered), 5000)]
+            np.add.at(self.scores, np.array(owner), np.concatenate(logs)[np.array(parts)])
 
     def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         """The language and its score for each text. The score is the posterior (equal priors) with the
         log-likelihoods divided by the root of the number of words, since words are not independent."""
-        for at in range(0, len(texts), 200):
-            held = [(t or "").encode("utf-8", "replace").split() for t in texts[at : at + 200]]
+        for at in range(0, len(texts), 500):
+            held = [(t or "").encode("utf-8", "replace").split() for t in texts[at : at + 500]]
             self.learn(set().union(*held))
             for words in held:
                 rows = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
@@ -196,7 +199,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _expected(vocab_path: str, languages: list[str], prob: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(vocab_path)
+        vocab = Vocabulary(vocabulary(vocab_path))
         sums = np.zeros_like(prob)
         for b in batches:
             lang = np.array([languages.index(x) for x in b.column(0).to_pylist()], np.int64)

@@ -57,23 +57,14 @@ class Model:
         return [self.byte[b] for b in char.encode("utf-8", "replace")] if self.byte else [self.unknown]
 
 
-class Trie:
-    """Encodes sorted words depth first: the state of each prefix is kept while words share it.
+class Automaton:
+    """All pieces in one automaton: where a character leads from a node (``goto``), the node of the
+    longest shorter suffix (``shorter``), and (length, id) of the pieces that end at a node, longest first (``ends``)."""
 
-    Sorted words visit the trie of their characters in depth-first order, so a word starts from the
-    states of the prefix it shares with the one before. In a unigram model the state of a prefix is
-    its best score and last piece (Viterbi). In a BPE model it is the last piece of the prefix's own
-    encoding: the one piece that ends there and stays apart from the last piece before it.
-    """
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.apart: dict[int, bool] = {}
-        self.visited = 0
-        # an automaton over all pieces: where a character leads, the longest shorter suffix, the pieces that end here (longest first)
+    def __init__(self, ids: dict[str, int]):
         self.goto: list[dict[str, int]] = [{}]
         self.ends: list[list[tuple[int, int]]] = [[]]
-        for piece, i in model.ids.items():
+        for piece, i in ids.items():
             node = 0
             for c in piece:
                 if c not in self.goto[node]:
@@ -102,6 +93,36 @@ class Trie:
                 return 0
             node = self.shorter[node]
 
+    def walk(self, words: list[str]) -> list[int]:
+        """The node after each character of each word, one word after the other."""
+        goto, shorter = self.goto, self.shorter
+        out: list[int] = []
+        add = out.append
+        for word in words:
+            node = 0
+            for c in word:
+                while (to := goto[node].get(c)) is None and node:
+                    node = shorter[node]
+                node = to or 0
+                add(node)
+        return out
+
+
+class Trie:
+    """Encodes sorted words depth first: the state of each prefix is kept while words share it.
+
+    Sorted words visit the trie of their characters in depth-first order, so a word starts from the
+    states of the prefix it shares with the one before. In a unigram model the state of a prefix is
+    its best score and last piece (Viterbi). In a BPE model it is the last piece of the prefix's own
+    encoding: the one piece that ends there and stays apart from the last piece before it.
+    """
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.apart: dict[int, bool] = {}
+        self.visited = 0
+        self.automaton = Automaton(model.ids)
+
     def merged(self, text: str) -> list[str]:
         """BPE by definition: join the neighbours of best score, the leftmost of equals, until none join."""
         ids, scores = self.model.ids, self.model.scores
@@ -131,7 +152,8 @@ class Trie:
     def encode(self, words: list[str]) -> Iterator[list[int]]:
         """The ids of each of the sorted words, in which blanks are marks."""
         m = self.model
-        unigram, apart, goto, shorter, ends = m.unigram, self.apart, self.goto, self.shorter, self.ends
+        unigram, apart = m.unigram, self.apart
+        goto, shorter, ends = self.automaton.goto, self.automaton.shorter, self.automaton.ends
         # state of each prefix of the word before: start and id of its last piece (the complement of the
         # code point where no piece covers it), score, and the automaton's node
         states: list[tuple] = [(0, START, 0.0, 0)]
