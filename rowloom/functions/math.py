@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -20,10 +21,11 @@ ALIASES = {
 
 @dataclass(frozen=True)
 class Operand:
-    """An expression and its logical type. A literal promotes only as far as its value needs."""
+    """An expression and its logical type. A literal promotes only as far as its value needs, which ``value`` keeps."""
 
     c: Column
     ltype: str
+    value: object = None
 
     @classmethod
     def of(cls, v: object) -> Operand:
@@ -32,7 +34,7 @@ class Operand:
         if isinstance(v, Column):
             raise TypeMismatch("a bare column has no logical type; wrap it in Operand")
         t = L.of_value(v)
-        return cls(F.lit(v).cast(L.SPARK[t]), t)
+        return cls(F.lit(v).cast(L.SPARK[t]), t, v)
 
 
 def _floor_div(x: Column, y: Column) -> Column:
@@ -74,6 +76,10 @@ def arithmetic(op: str, operands: list[Operand]) -> Operand:
         parts = [L.cast(o.c, o.ltype, "double") for o in operands]
         steps = {"+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y, "/": _ieee_div}
         return Operand(reduce(steps[op], parts), "double")
+    if all(o.value is not None for o in operands) and not (op == "/" and 0 in [o.value for o in operands[1:]]):
+        # of literals alone the result is another literal, computed in 64 bits
+        steps = {"+": operator.add, "-": operator.sub, "*": operator.mul, "/": operator.floordiv}
+        return Operand.of((reduce(steps[op], [int(o.value) for o in operands]) + 2**63) % 2**64 - 2**63)
     t = "int" if t == "boolean" else t
     parts = [L.as_long(o.c, o.ltype) for o in operands]
     step = (lambda x, y: _on_wide(op, x, y)) if t == "wide" else _on_narrow(op, t)

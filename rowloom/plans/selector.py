@@ -133,6 +133,9 @@ class Selector:
 
     def _unary(self) -> Operand:
         if op := self._next("-", "+", "~", "!"):
+            if op == "-" and self.at < len(self.tokens) and self.tokens[self.at][0] == "value" and not isinstance(self.tokens[self.at][1], str):
+                self.at += 1
+                return Operand.of(-self.tokens[self.at - 1][1])
             o = self._unary()
             if op == "-":
                 return math("-", 0, o)
