@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed_text, real_id, stored
+from .common import keyed_text, real_id, scratch_path, stored
 
 K1, B = 1.2, 0.75
 #: Scores are sums of whole ten-thousandths, so that no order of summing changes a rank.
@@ -235,12 +235,12 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     frequency = index.select("terms", "starts").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     blocks = max(1, -(-asked.count() // QUERY_TERMS))
     weighed = stored(asked.join(frequency, "term").select("query", "term", "df", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block")), "queries")
-    out = None
-    for block in range(blocks):
+    path = scratch_path(docs.sparkSession, "hits")
+    for block in range(blocks):  # a block's hits are written before the next one's terms come
         t = weighed.where(F.col("block") == block).select("query", "term", "df").toArrow()  # about QUERY_TERMS rows
         df = t.column("df").to_numpy().astype(np.float64)
         q = Queries.of(t.column("query").to_numpy(), t.column("term").to_numpy(), np.log(1 + (n - df + 0.5) / (df + 0.5)), average, k)
-        hits = index.mapInArrow(_searched(q), "query long, doc long, score long")
-        out = hits if out is None else out.unionByName(hits)
+        index.mapInArrow(_searched(q), "query long, doc long, score long").write.mode("append").parquet(path)
+    out = docs.sparkSession.read.schema("query long, doc long, score long").parquet(path)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), F.col("rank").cast("long").alias("rank"), real_id("doc").alias("doc_id"), (F.col("score") / UNIT).alias("score"))
