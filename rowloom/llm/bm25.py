@@ -17,6 +17,9 @@ K1, B = 1.2, 0.75
 UNIT = 10_000
 #: A shard ends at so many documents or bytes of text; so many documents make a block.
 SHARD_DOCS, SHARD_BYTES, BLOCK = 4096, 12_000_000, 16
+#: A query of more terms than MANY is pruned only where the terms that can make a hit hold less than this part
+#: of its postings: the sum of many terms' greatest impacts in a block is far above any document's score.
+MANY, PRUNED = 48, 0.5
 #: Terms of queries that are broadcast at a time (16 bytes each); more queries make more blocks of queries.
 QUERY_TERMS = 2_000_000
 _SHARD = "docs binary, lengths binary, terms binary, starts binary, members binary, uses binary, n long, words long"
@@ -164,23 +167,53 @@ class Shard:
         self.block = block[self.entry[:-1]]
         self.greatest = np.maximum.reduceat(self.impacts, self.entry[:-1]) if len(at) else np.zeros(0, np.int64)
         self.term_entries = np.searchsorted(owner[self.entry[:-1]], np.arange(len(mine) + 1))
+        self.term_greatest = np.maximum.reduceat(self.greatest, self.term_entries[:-1]) if len(mine) else np.zeros(0, np.int64)
+        self.df = df
+        self.ends = np.cumsum(df)
+        self.weights = self.impacts.astype(np.float64)
         self.blocks = -(-len(self.docs) // BLOCK)
         self.scored = 0
 
+    def _best(self, score: np.ndarray, k: int, best: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+        found = np.flatnonzero(score >= least)
+        if len(found) > k:
+            found = found[score[found] >= np.partition(score[found], -k)[-k]]
+        return sorted([*best, *zip(score[found].tolist(), (-self.docs[found]).tolist(), strict=True)], reverse=True)[:k]
+
     def search(self, places: np.ndarray, k: int, best: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """The k best (score, -doc) of ``best`` and this shard for a query's terms, best first.
 
-        The greatest impacts of a block of documents bound what any of them can score; a block is
-        scored only while its bound reaches the k-th best score so far.
+        Weak terms, whose greatest impacts together stay under the k-th best score so far, can't make
+        a hit alone. Only blocks
+        of documents with one of those are looked at, and a block is scored only while its greatest
+        impacts, with all that weak terms can add, reach the k-th best score. A query of many terms,
+        nearly all needed, has nothing to skip, so its postings are summed straight.
         """
         t = self.local[places]
         t = t[t >= 0]
         if not len(t):
             return best
+        least = best[k - 1][0] if len(best) >= k else 1
+        t = t[np.argsort(self.term_greatest[t], kind="stable")]
+        sums = np.cumsum(self.term_greatest[t])
+        weak = int(np.searchsorted(sums, least))
+        if weak == len(t):
+            return best
+        total = int(self.df[t].sum())
+        if len(t) > MANY and int(self.df[t[weak:]].sum()) > PRUNED * total:
+            p = _ranges(self.ends[t] - self.df[t], self.ends[t])
+            self.scored += total
+            score = np.bincount(self.members[p], weights=self.weights[p], minlength=len(self.docs))
+            return self._best(score.astype(np.int64), k, best, least)
+        e = _ranges(self.term_entries[t[weak:]], self.term_entries[t[weak:] + 1])
+        bound = np.bincount(self.block[e], weights=self.greatest[e], minlength=self.blocks).astype(np.int64)
+        bound[bound > 0] += sums[weak - 1] if weak else 0
+        order = np.flatnonzero(bound >= least)
+        if not len(order):
+            return best
+        order = order[np.argsort(-bound[order], kind="stable")]
         e = _ranges(self.term_entries[t], self.term_entries[t + 1])
         block = self.block[e]
-        bound = np.bincount(block, weights=self.greatest[e], minlength=self.blocks).astype(np.int64)
-        order = np.argsort(-bound, kind="stable")
         at, step = 0, 8
         while at < len(order):
             least = best[k - 1][0] if len(best) >= k else 1
@@ -192,12 +225,8 @@ class Shard:
             take[some] = True
             own = e[take[block]]
             p = _ranges(self.entry[own], self.entry[own + 1])
-            score = np.bincount(self.members[p], weights=self.impacts[p], minlength=len(self.docs)).astype(np.int64)
             self.scored += len(p)
-            found = np.flatnonzero(score >= least)
-            if len(found) > k:
-                found = found[score[found] >= np.partition(score[found], -k)[-k]]
-            best = sorted([*best, *zip(score[found].tolist(), (-self.docs[found]).tolist(), strict=True)], reverse=True)[:k]
+            best = self._best(np.bincount(self.members[p], weights=self.weights[p], minlength=len(self.docs)).astype(np.int64), k, best, least)
             at += step
             step *= 4
         return best
