@@ -4,21 +4,31 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Sorts before every real id; stands for a null doc_id inside an operator only.
+#: Sorts before every real id; stands for a null doc_id inside operators that order occurrences by id (a
+#: document whose id is this number itself is taken for one without an id there).
 NULL_ID = -(2**63)
+#: A key that holds over 1 / HOT of all rows is hot. There are fewer than HOT such keys, whatever the table.
+HOT = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary folder serves, but only if driver and executors are one process;
+    on a cluster executors would write to their own disks, so that is an error.
+    """
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if set_dir:
         return set_dir
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="rowloom-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -63,3 +73,32 @@ def real_id(k: Column | str = "k") -> Column:
 def let(value: Column, body) -> Column:
     """``body`` applied to ``value``, which is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``facts``, which have one row per key and in ``size`` the key's number of rows.
+
+    The facts of hot keys, fewer than ``HOT`` rows by definition, are broadcast, so that their rows stay where they
+    are; all other keys, each at most 1 / HOT of the rows, meet by a shuffle.
+    """
+    hot = F.col(size) * HOT > total
+    few = F.broadcast(facts.where(hot))
+    if facts.where(hot).isEmpty():
+        return rows.join(facts, on)
+    return rows.join(few, on).unionByName(rows.join(few.select(*on), on, "left_anti").join(facts.where(~hot), on))
+
+
+def kept_once(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``keep`` (id, th, n) names by doc_id and ``xxhash64`` of the text, all columns.
+
+    ``n`` counts the rows with that id and hash. Of rows that repeat both id and text one stays.
+    """
+    keep = keep.select(F.col("id").alias("_rl_id"), F.col("th").alias("_rl_th"), F.col("n").alias("_rl_n"))
+    text = F.coalesce(docs["text"], F.lit(""))
+    held = docs.withColumn("_rl_text_hash", F.xxhash64(text))
+    met = held.join(keep, held["doc_id"].cast("long").eqNullSafe(keep["_rl_id"]) & (held["_rl_text_hash"] == keep["_rl_th"]))
+    if keep.where("_rl_n > 1").isEmpty():
+        return met.select(*(docs[c] for c in docs.columns))
+    again = met.where("_rl_n > 1").withColumn("_rl_text", F.coalesce(F.col("text"), F.lit(""))).dropDuplicates(["_rl_id", "_rl_text"])
+    own = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+    return met.where("_rl_n = 1").select(*own).unionByName(again.select(*own))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import HOT, kept_once, spread_join, stored
 
-#: The directory never has more than 2**MAX_DEPTH entries, whatever the corpus.
-MAX_DEPTH = 12
+#: The directory has at most 2**MAX_DEPTH entries; the default capacity of a bucket keeps it far below that.
+MAX_DEPTH, FEWEST, MOST_BUCKETS = 16, 4096, 1 << 13
+#: Ranks are made of n_points times this and the distance of doc_id from 2**63, which is less.
+_STEP, _TOP = Decimal(10**20), Decimal(2**63)
 
 
 def directory(counts: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH) -> list[tuple[int, int]]:
@@ -16,7 +21,7 @@ def directory(counts: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH)
 
     Starts with one bucket; an overfull bucket is split by its next bit, doubling the directory
     as needed, until it fits or the depth is reached. A bucket that still overflows holds few
-    distinct keys; its chain is dealt over several owners (see ``index``).
+    distinct keys: hot keys, whose rows are merged before they come to the owner (see ``Index``).
     """
     size = 1 << max_depth
     out: list[tuple[int, int]] = [(0, 0)] * size
@@ -35,48 +40,96 @@ def directory(counts: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH)
     return out
 
 
-def index(docs: DataFrame, capacity: int = 100_000) -> DataFrame:
-    """The stored index: (bucket, key, digest, n_points, doc_id), in files by ranges of bucket and key.
+@dataclass
+class Index:
+    """``entries``: key, digest, doc_id, th, n_points, norm, a row per document. ``owners``: bucket, key, digest, norm,
+    group_size, best, a row per distinct normalised text. ``clashing``: whether two texts share a key and digest."""
+
+    entries: DataFrame
+    owners: DataFrame
+    total: int
+    clashing: bool
+
 
-    ``key`` is a 64-bit hash of the normalised text and picks the bucket, ``digest`` its SHA-256:
-    entries that collide on the key are told apart by comparing the digest's bytes. A key held by
-    many rows is spread over owners by doc_id, so no file or task grows with a group of copies.
+def index(docs: DataFrame, capacity: int | None = None, key_bits: int = 64, digest_bits: int = 256) -> Index:
+    """Builds the index: entries by document, dealt to buckets, and a chain of distinct texts for every key.
+
+    ``key`` is a 64-bit hash of the normalised text whose high bits choose the bucket through the
+    directory. An owner task gets a range of buckets and keys, chains the entries of each key and
+    tells their texts apart by comparing bytes (they are grouping keys). Rows of a hot key (over
+    1 / HOT of all, so fewer than HOT keys) are merged where they are read before they go to an owner; all others go
+    there straight. ``capacity`` is the rows of a bucket, by default the greater of 4096 and a
+    2**13-th of all rows, so that the directory, which the driver builds and broadcasts, keeps a
+    bounded size. Fewer ``key_bits`` and ``digest_bits`` make collisions, for tests.
     """
     spark = docs.sparkSession
     text = F.coalesce(docs["text"], F.lit(""))
-    norm = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.char_length(text).alias("n_points"), F.regexp_replace(text, r"[\x20\x09-\x0D]+", "").alias("norm"))
-    entries = stored(norm.select("doc_id", "n_points", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("digest")), "entries")
+    norm = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.char_length(text).alias("n_points"), F.regexp_replace(text, r"[\x20\x09-\x0D]+", "").alias("norm"))
+    key = F.xxhash64("norm").bitwiseAND(F.lit(-1 << (64 - key_bits)))
+    digest = F.substring(F.unhex(F.sha2("norm", 256)), 1, digest_bits // 8)
+    held = stored(norm.select("doc_id", "th", "n_points", key.alias("key"), digest.alias("digest"), "norm"), "entries")
     prefix = F.shiftrightunsigned("key", 64 - MAX_DEPTH)
-    counts = {r["p"]: r["count"] for r in entries.groupBy(prefix.alias("p")).count().collect()}  # at most 2**MAX_DEPTH rows
-    # 2**MAX_DEPTH rows: a fixed bound, hence the broadcast
-    where = F.broadcast(spark.createDataFrame([(p, b) for p, (b, _) in enumerate(directory(counts, capacity))], "p long, bucket int"))
-    held = entries.withColumn("p", prefix).join(where, "p").drop("p")
-    return stored(held.repartitionByRange("bucket", "key", "doc_id").sortWithinPartitions("bucket", "key", "digest"), "index")
+    counts = {r["p"]: r["count"] for r in held.groupBy(prefix.alias("p")).count().collect()}  # at most 2**MAX_DEPTH rows
+    total = sum(counts.values())
+    full = directory(counts, capacity or max(FEWEST, -(-total // MOST_BUCKETS)))
+    depth = max(d for _, d in full)  # the directory's own depth: it doubled so many times
+    step = 1 << (MAX_DEPTH - depth)
+    # 2**MAX_DEPTH rows at most: a fixed bound, hence the broadcast
+    buckets = F.broadcast(spark.createDataFrame([(p, full[p * step][0]) for p in range(1 << depth)], "p long, bucket int"))
+    entries = held.withColumn("p", F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")).join(buckets, "p").drop("p")
+    # fewer than HOT rows, each a key of over 1 / HOT of the rows
+    hot = F.broadcast(stored(held.groupBy("key").count().where(F.col("count") * HOT > total).select("key"), "hot-keys"))
+    group = ["bucket", "key", "digest", "norm"]
+    rank = F.col("n_points").cast("decimal(10,0)") * F.lit(_STEP) + F.coalesce(F.lit(_TOP) - F.col("doc_id").cast("decimal(20,0)"), F.lit(Decimal(0))).cast("decimal(20,0)")
+    ranked = entries.select(*group, rank.alias("rank"))
+    merged = [F.count(F.lit(1)).alias("group_size"), F.max("rank").alias("best")]
+    owned = ranked.join(hot, "key", "left_anti").repartitionByRange("bucket", "key").groupBy(*group).agg(*merged)
+    owners = stored(owned.unionByName(ranked.join(hot, "key", "left_semi").groupBy(*group).agg(*merged)), "index")
+    clashing = not owners.groupBy("key", "digest").count().where("count > 1").isEmpty()
+    return Index(held, owners, total, clashing)
+
 
+def _joined(found: Index) -> DataFrame:
+    """Every entry with its text's group: keep_id, keep_points, group_size."""
+    points = F.floor(F.col("best") / F.lit(_STEP))
+    code = (F.col("best") % F.lit(_STEP)).cast("decimal(20,0)")
+    keep = F.when(code > 0, (F.lit(_TOP) - code).cast("long"))
+    on = ["key", "digest"]
+    facts = found.owners.select(*on, "norm", "group_size", keep.alias("keep_id"), points.cast("long").alias("keep_points"))
+    entries = found.entries
+    if not found.clashing:
+        return spread_join(entries.drop("norm"), facts.drop("norm"), on, "group_size", found.total)
+    # texts that share key and digest are chained: their rows find their link of the chain by the text's bytes
+    chained = facts.groupBy(*on).count().where("count > 1").select(*on)
+    plain = spread_join(entries.drop("norm").join(chained, on, "left_anti"), facts.drop("norm").join(chained, on, "left_anti"), on, "group_size", found.total)
+    linked = spread_join(entries.join(chained, on, "left_semi"), facts.join(chained, on, "left_semi"), [*on, "norm"], "group_size", found.total)
+    return plain.unionByName(linked.drop("norm"))
 
-def exact_groups(docs: DataFrame, capacity: int = 100_000) -> DataFrame:
+
+def exact_groups(docs: DataFrame, capacity: int | None = None, key_bits: int = 64, digest_bits: int = 256) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without ``[\\x20\\x09-\\x0D]``. Of equal texts the row with most
     code points in its original text stays, then the smallest doc_id. A null text counts as empty,
     so null, empty and blank texts form one group. Null doc_ids come after all others: such a row
-    is kept only if its group has no better one, and keep_id is then null. Repeats of one row (same doc_id) each count in
-    group_size, and exactly the rows whose doc_id is keep_id are marked kept. An empty table gives no rows; other
-    columns are ignored.
+    is kept only if its group has no better one, and keep_id is then null. Repeats of one row (same
+    doc_id) each count in group_size, and exactly the rows whose doc_id is keep_id and whose text has
+    the most code points are marked kept. An empty table gives no rows; other columns are ignored.
+    """
+    kept = (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))).alias("kept")
+    out = _joined(index(docs, capacity, key_bits, digest_bits))
+    return out.select("doc_id", "keep_id", "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, capacity: int | None = None) -> DataFrame:
+    """``docs`` with one row of each group of equal texts, all columns: the one that ``exact_groups`` marks kept.
+
+    Rows are told apart by doc_id and text: where several rows are marked, which share a doc_id, the one whose
+    original text has the smallest ``xxhash64`` stays, and of rows that repeat both doc_id and text, one. Null texts
+    count as empty; a row without a doc_id stays only if its group has no better one; an empty
+    table gives no rows.
     """
-    entries = index(docs, capacity)
-    best = F.max(F.struct("n_points", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("neg")))
-    owners = entries.groupBy("bucket", "key", "digest").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
-    owners = owners.select("bucket", "key", "digest", "group_size", (-F.col("best.neg")).alias("keep_id"), F.col("best.n_points").alias("keep_points"))
-    out = entries.join(owners, ["bucket", "key", "digest"])
-    return out.select(
-        "doc_id", "keep_id", "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))).alias("kept"),
-        F.col("digest").alias("text_sha256"),
-    )
-
-
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without exact copies: all columns of the rows that ``exact_groups`` keeps."""
-    keep = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_rl_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_rl_keep"]), "left_semi")
+    marked = _joined(index(docs, capacity)).where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points")))
+    rows = marked.groupBy("key", "digest", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    best = rows.groupBy("key", "digest", F.col("doc_id").alias("id")).agg(F.min("th").alias("th"), F.min_by("n", "th").alias("n"))
+    return kept_once(docs, stored(best.select("id", "th", "n"), "keep"))

@@ -31,6 +31,26 @@ def test_random_groups(make):
 
 def test_empty(make):
     assert exact_groups(make([])).collect() == []
+    assert drop_copies(make([])).collect() == []
+
+
+def test_collisions_are_told_apart_by_bytes(make):
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choice("abc ") for _ in range(rng.randint(0, 4)))) for i in range(300)]
+    got = [tuple(r)[:4] for r in exact_groups(make(rows), capacity=20, key_bits=1, digest_bits=0).collect()]
+    assert sorted(got, key=str) == [r[:4] for r in brute(rows)]
+
+
+def test_hot_group_and_least_doc_id(make):
+    rows = [(i - 2**63, "same text") for i in range(1500)] + [(i, f"text {i % 700}") for i in range(1500)] + [(None, "same text ")]
+    assert sorted(map(tuple, exact_groups(make(rows), capacity=100).collect()), key=str) == brute(rows)
+
+
+def test_rows_that_share_an_id(make):
+    got = drop_copies(make([(0, "B"), (1, "A"), (1, "B"), (2, "A"), (5, "same text"), (5, "same text"), (None, "alone"), (None, "B"), (7, None), (7, "")]))
+    left = [(r["doc_id"], r["text"] or "") for r in got.collect()]
+    assert sorted(left, key=str) == sorted([(0, "B"), (1, "A"), (5, "same text"), (None, "alone"), (7, "")], key=str)
+    assert got.columns == make([]).columns
 
 
 def test_directory_splits_only_what_overflows():
