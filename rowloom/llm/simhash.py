@@ -9,16 +9,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_text, real_id, stored
+from .common import kept_once, spread_join, stored
 
 #: A shard of more fingerprints is split by further bits.
 SHARD = 2_000
+#: Shingles of one text that are hashed at a time.
+SLICE = 20_000
 
 
 def fingerprint(text: str, words: int = 3) -> int:
     """The 64-bit SimHash of the XXH64 (seed 42) of a text's word shingles, repeats included; A-Z are lower-cased.
 
-    A bit is 1 if set in over half of the hashes. Fewer words than a shingle make one shingle; none give zero.
+    A bit is 1 if set in over half of the hashes. Fewer words than a shingle make one shingle; none
+    give zero. The words of a long text are hashed ``SLICE`` at a time.
     """
     import xxhash
 
@@ -26,25 +29,26 @@ def fingerprint(text: str, words: int = 3) -> int:
     n = len(parts)
     if not n:
         return 0
-    joined = b" ".join(parts)
     digest = xxhash.xxh64_intdigest
     if n < words:
-        return digest(joined, 42)
-    ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=n) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: n - words + 1]
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)], dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), 60_000):
-        bits = np.unpackbits(hashes[i : i + 60_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        return digest(b" ".join(parts), 42)
+    ones, total = np.zeros(64, dtype=np.int64), n - words + 1
+    for first in range(0, total, SLICE):
+        some = parts[first : first + SLICE + words - 1]
+        joined = b" ".join(some)
+        ends = np.cumsum(np.fromiter(map(len, some), dtype=np.int64, count=len(some)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))[: len(some) - words + 1]
+        hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)], dtype="<u8")
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64) if len(bits) > 250 else bits.sum(axis=0, dtype=np.uint8)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0])
 
 
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got)], ["k", "fp"])
+            got = np.array([fingerprint(t.as_py(), words) for t in b.column(2)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got)], ["doc_id", "th", "fp"])
 
     return run
 
@@ -79,60 +83,82 @@ class BKTree:
                 todo += [node for edge, node in children.items() if d - radius <= edge <= d + radius]
 
 
-def shard_links(fps: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links that join what is within ``radius`` in one shard, transitively: a forest, not all pairs."""
-    tree, top, out = BKTree(), {}, []
-
+def _tree_links(fps: list[int], radius: int, top: dict[int, int]) -> None:
+    """Joins in ``top`` (each fingerprint's way to its least) what one BK-tree finds within ``radius``."""
     def find(x: int) -> int:
         while top[x] != x:
             top[x] = x = top[top[x]]
         return x
 
+    tree = BKTree()
     for fp in fps:
-        top[fp] = fp
         for other in tree.near(fp, radius):
-            if (a := find(fp)) != (b := find(other)):
-                top[a] = b
-                out.append((fp, other))
+            a, b = find(fp), find(other)
+            if a != b:
+                top[max(a, b)] = min(a, b)
         tree.add(fp)
+
+
+def shard_links(fps: np.ndarray, radius: int, most: int = SHARD) -> list[tuple[int, int]]:
+    """(fingerprint, least of its group) for what links within ``radius`` join in one shard: stars, not all pairs.
+
+    A tree never holds more than ``most`` fingerprints: a shard of more is dealt, inside its task, by each of four
+    blocks of the bits in which its fingerprints differ at all. Fingerprints that differ in at most
+    three bits are equal in one of the blocks, so no link is lost.
+    """
+    fps = np.asarray(fps, np.uint64)
+    top = {x: x for x in fps.tolist()}
+    todo = [fps]
+    while todo:
+        own = todo.pop()
+        varying = int(np.bitwise_or.reduce(own ^ own[0]))
+        free = [i for i in range(64) if varying >> i & 1]
+        if len(own) <= most or len(free) < 8:
+            _tree_links(own.tolist(), radius, top)
+            continue
+        size = -(-len(free) // 4)
+        for at in range(0, len(free), size):
+            mask = np.uint64(sum(1 << i for i in free[at : at + size]))
+            order = np.argsort(own & mask, kind="stable")
+            held = own[order]
+            cuts = np.flatnonzero(np.diff(held & mask)) + 1
+            todo += [x for x in np.split(held, cuts) if len(x) > 1]
+    out = []
+    for x in top:
+        least = x
+        while top[least] != least:
+            least = top[least]
+        if least != x:
+            out.append((x, least))
     return out
 
 
 def _shards(radius: int):
-    mask = (1 << 64) - 1
-
-    def signed(x: int) -> int:
-        return x - (1 << 64) if x >> 63 else x
+    def links(held: np.ndarray) -> np.ndarray:
+        return np.array(shard_links(held.view(np.uint64), radius), np.uint64).reshape(-1, 2).view(np.int64)
 
-    def links(held: list[int]) -> list[tuple[int, int]]:
-        return [(signed(a), signed(b)) for a, b in shard_links([x & mask for x in held], radius)]
+    def row(out: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        a = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, held = None, []  # the shard that the batch before left open
         for b in batches:
             if not b.num_rows:
                 continue
             out = []
             keys, fps = b.column(0).to_numpy(), b.column(1).to_numpy()
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
-            sizes = np.diff(cuts)
-            if keys[0] == key:
-                held += fps[: cuts[1]].tolist()
-            elif len(held) > 1:
-                out += links(held)
-            if len(sizes) > 1 or keys[0] != key:
-                if keys[0] == key and len(held) > 1:
-                    out += links(held)
-                first = int(keys[0] == key)
-                for i in np.flatnonzero(sizes[first:-1] > 1) + first:
-                    out += links(fps[cuts[i] : cuts[i + 1]].tolist())
-                key, held = keys[-1], fps[cuts[-2] :].tolist()
-            if out:
-                a = np.array(out, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["u", "v"])
-        if len(held) > 1 and (out := links(held)):
-            a = np.array(out, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["u", "v"])
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                if keys[at] != key:
+                    if sum(map(len, held)) > 1:
+                        out.append(links(np.concatenate(held)))
+                    key, held = keys[at], []
+                held.append(fps[at:end])
+            yield from row(out)
+        if sum(map(len, held)) > 1:
+            yield from row([links(np.concatenate(held))])
 
     return run
 
@@ -177,8 +203,9 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, shard: int = SHARD) -> Da
 
     Shards are the values of two nested blocks (28 of 64 bits). One with more than ``shard``
     fingerprints is split by a third block (9 bits more) and, where that does not do, a fourth (7
-    more); below that a shard has 20 free bits, so its size is bounded whatever the corpus. Each shard's
-    BK-tree lives in the task that owns the shard.
+    more); below that a shard has 20 free bits, so its size is bounded (2**20, 8 MB) whatever the
+    corpus, and its task deals it to trees of at most ``SHARD`` fingerprints. The trees live in the task
+    that owns the shard.
     """
     if not 0 <= radius <= 3:
         raise ValueError("the blocks find fingerprints that differ in at most three bits")
@@ -224,6 +251,20 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def _classed(docs: DataFrame, radius: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, th, fp), and per distinct fingerprint (fp, n, root): its number of rows and its group."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    prints = stored(rows.mapInArrow(_fingerprints(words), "doc_id long, th long, fp long"), "fingerprints")
+    classes = stored(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), "classes")
+    links = stored(fingerprint_links(classes.select("fp"), radius), "found-links")
+    if links.isEmpty():
+        return prints, classes.withColumn("root", F.col("fp"))
+    roots = components(links)
+    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
+    return prints, stored(rooted, "rooted")
+
+
 def simhash_groups(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
@@ -232,18 +273,25 @@ def simhash_groups(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFram
     doc_id stays null and is never a component_id unless its component has no other; repeated rows
     each give a row; an empty table gives none; other columns are ignored.
     """
-    prints = stored(keyed_text(docs).select("k", "text").mapInArrow(_fingerprints(words), "k long, fp long"), "fingerprints")
-    classes = stored(prints.groupBy("fp").agg(F.min(real_id()).alias("least")), "classes")
-    roots = components(fingerprint_links(classes.select("fp"), radius))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    return prints.join(named, "fp").select(real_id().alias("doc_id"), digits(F.col("fp")).alias("fingerprint"), "component_id")
+    prints, classes = _classed(docs, radius, words)
+    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = classes.join(least, "root").select("fp", "n", "component_id")
+    out = spread_join(prints.select("doc_id", "fp"), stored(named, "named"), ["fp"], "n", prints.count())
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFrame:
-    """``docs`` with one document of each group: the one of smallest doc_id. Rows without a doc_id stay."""
-    groups = simhash_groups(docs, radius, words)
-    drop = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_rl_drop"))
-    return docs.join(drop, docs["doc_id"] == drop["_rl_drop"], "left_anti")
+    """``docs`` with one row of each group, all columns: the one of smallest doc_id.
+
+    Rows are told apart by doc_id and text: where rows share the smallest doc_id but not the text, the
+    one whose text has the smallest ``xxhash64`` stays; of rows that repeat both, one. A row without a
+    doc_id stays only if its group has no row with one. A null text counts as empty, and all texts without
+    a word are one group; an empty table gives no rows.
+    """
+    prints, classes = _classed(docs, radius, words)
+    # of each fingerprint its first row, ids before none, then of each group the first of those
+    rows = prints.groupBy("fp", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("th"))
+    first = rows.groupBy("fp").agg(F.min_by(F.struct("doc_id", "th", "n"), order).alias("r")).select("fp", "r.*")
+    best = first.join(classes.select("fp", "root"), "fp").groupBy("root").agg(F.min_by(F.struct("doc_id", "th", "n"), order).alias("r"))
+    return kept_once(docs, stored(best.select(F.col("r.doc_id").alias("id"), F.col("r.th").alias("th"), F.col("r.n").alias("n")), "keep"))

@@ -50,6 +50,15 @@ def test_groups_against_brute_force(make):
     assert kept == set(want.values())
 
 
+def test_rows_that_share_an_id(make):
+    a, b, c = ("one two three four five", "six seven eight nine ten", "x y z")
+    got = drop_near_copies(make([(0, b), (1, a), (1, b), (2, a), (5, c), (5, c), (None, a), (None, "only here"), (8, None), (8, "")]))
+    left = [(r["doc_id"], r["text"] or "") for r in got.collect()]
+    assert sorted(left, key=str) == sorted([(0, b), (1, a), (5, c), (None, "only here"), (8, "")], key=str)
+    assert got.columns == make([]).columns
+    assert drop_near_copies(make([])).collect() == []
+
+
 def test_odd_rows(make, odd_rows):
     got = simhash_groups(make(odd_rows)).collect()
     assert len(got) == len(odd_rows)
@@ -71,7 +80,7 @@ def test_hot_shards_are_split_without_losing_links(spark):
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
     want = {k: v for k, v in brute({s: f for s, f in zip(signed, fps, strict=True)}).items() if k != v}
-    for shard in (5, 2000):
+    for shard in (5, 100, 2000):
         links = fingerprint_links(df, shard=shard)
         assert {r["node"]: r["root"] for r in components(links).collect()} == want
 
@@ -90,3 +99,12 @@ def test_tree_finds_all_within_radius():
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400)], "u long, v long")
     assert {r["node"]: r["root"] for r in components(links).collect()} == {**{i: 0 for i in range(1, 201)}, 500: 400}
+
+
+def test_a_dense_shard_is_split_in_its_task():
+    rng = random.Random(8)
+    fps = sorted({rng.getrandbits(14) << 3 for _ in range(900)})
+    whole = dict(shard_links(fps, 2))
+    assert dict(shard_links(fps, 2, most=20)) == whole and whole
+    want = brute(dict(zip(range(len(fps)), fps, strict=True)))
+    assert dict(shard_links(fps, 3, most=50)) == {fps[i]: fps[j] for i, j in want.items() if i != j}
