@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import HOT, kept_once, spread_join, stored
@@ -42,7 +42,7 @@ def directory(counts: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH)
 
 @dataclass
 class Index:
-    """``entries``: key, digest, doc_id, th, n_points, norm, a row per document. ``owners``: bucket, key, digest, norm,
+    """``entries``: key, digest, doc_id, th, n_points, norm, a row per document. ``owners``: bucket, key, digest,
     group_size, best, a row per distinct normalised text. ``clashing``: whether two texts share a key and digest."""
 
     entries: DataFrame
@@ -51,6 +51,12 @@ class Index:
     clashing: bool
 
 
+def _rank() -> Column:
+    """Greatest for the row that stays: by code points, then by the distance of doc_id from 2**63; 0 of that for none."""
+    left = F.coalesce(F.lit(_TOP) - F.col("doc_id").cast("decimal(20,0)"), F.lit(Decimal(0))).cast("decimal(20,0)")
+    return F.col("n_points").cast("decimal(10,0)") * F.lit(_STEP) + left
+
+
 def index(docs: DataFrame, capacity: int | None = None, key_bits: int = 64, digest_bits: int = 256) -> Index:
     """Builds the index: entries by document, dealt to buckets, and a chain of distinct texts for every key.
 
@@ -80,11 +86,10 @@ def index(docs: DataFrame, capacity: int | None = None, key_bits: int = 64, dige
     # fewer than HOT rows, each a key of over 1 / HOT of the rows
     hot = F.broadcast(stored(held.groupBy("key").count().where(F.col("count") * HOT > total).select("key"), "hot-keys"))
     group = ["bucket", "key", "digest", "norm"]
-    rank = F.col("n_points").cast("decimal(10,0)") * F.lit(_STEP) + F.coalesce(F.lit(_TOP) - F.col("doc_id").cast("decimal(20,0)"), F.lit(Decimal(0))).cast("decimal(20,0)")
-    ranked = entries.select(*group, rank.alias("rank"))
+    ranked = entries.select(*group, _rank().alias("rank"))
     merged = [F.count(F.lit(1)).alias("group_size"), F.max("rank").alias("best")]
     owned = ranked.join(hot, "key", "left_anti").repartitionByRange("bucket", "key").groupBy(*group).agg(*merged)
-    owners = stored(owned.unionByName(ranked.join(hot, "key", "left_semi").groupBy(*group).agg(*merged)), "index")
+    owners = stored(owned.unionByName(ranked.join(hot, "key", "left_semi").groupBy(*group).agg(*merged)).drop("norm"), "index")
     clashing = not owners.groupBy("key", "digest").count().where("count > 1").isEmpty()
     return Index(held, owners, total, clashing)
 
@@ -95,14 +100,16 @@ def _joined(found: Index) -> DataFrame:
     code = (F.col("best") % F.lit(_STEP)).cast("decimal(20,0)")
     keep = F.when(code > 0, (F.lit(_TOP) - code).cast("long"))
     on = ["key", "digest"]
-    facts = found.owners.select(*on, "norm", "group_size", keep.alias("keep_id"), points.cast("long").alias("keep_points"))
-    entries = found.entries
+    facts = ["group_size", keep.alias("keep_id"), points.cast("long").alias("keep_points")]
+    owners, entries = found.owners.select(*on, *facts), found.entries
     if not found.clashing:
-        return spread_join(entries.drop("norm"), facts.drop("norm"), on, "group_size", found.total)
+        return spread_join(entries.drop("norm"), owners, on, "group_size", found.total)
     # texts that share key and digest are chained: their rows find their link of the chain by the text's bytes
-    chained = facts.groupBy(*on).count().where("count > 1").select(*on)
-    plain = spread_join(entries.drop("norm").join(chained, on, "left_anti"), facts.drop("norm").join(chained, on, "left_anti"), on, "group_size", found.total)
-    linked = spread_join(entries.join(chained, on, "left_semi"), facts.join(chained, on, "left_semi"), [*on, "norm"], "group_size", found.total)
+    chained = owners.groupBy(*on).count().where("count > 1").select(*on)
+    plain = spread_join(entries.drop("norm").join(chained, on, "left_anti"), owners.join(chained, on, "left_anti"), on, "group_size", found.total)
+    rows = stored(entries.join(chained, on, "left_semi"), "chained")
+    links = rows.withColumn("rank", _rank()).groupBy(*on, "norm").agg(F.count(F.lit(1)).alias("group_size"), F.max("rank").alias("best"))
+    linked = spread_join(rows, stored(links.select(*on, "norm", *facts), "links"), [*on, "norm"], "group_size", found.total)
     return plain.unionByName(linked.drop("norm"))
 
 
