@@ -15,33 +15,50 @@ from .common import stored
 from .tokens import token_pieces
 
 Plan = list[tuple[tuple[int, ...], int]]
-#: Patterns that are fitted, and rows of a group that are ranked together.
-PATTERNS, RANKED = 20_000, 20_000
+#: Rows of a group that are ranked together.
+RANKED = 20_000
+#: Most documents of a pattern, and second lengths that are tried for each longest one.
+FEW, SECONDS = 12, 24
+#: The part of all tokens, in the shortest documents, that fills the gaps of the residual.
+RESERVE = 32
 
 
-def patterns(lengths: np.ndarray, size: int, most: int = PATTERNS) -> list[tuple[int, ...]]:
-    """Up to ``most`` patterns of two to four lengths that fill ``size`` exactly, longest length first.
+def patterns(left: dict[int, int], size: int, waste: int = 0) -> list[tuple[int, ...]]:
+    """Patterns of at most ``FEW`` lengths that leave at most ``waste`` of ``size``, longest length first.
 
-    Pairs come first, then triples and fours made by completing pairs of lengths taken at even
-    steps through the lengths; the choice depends on the histogram alone.
+    For every length of the histogram as the longest: alone, and with each of up to ``SECONDS`` second
+    lengths, taken at even steps from those that fit, completed by the longest lengths that still fit.
+    A pattern never asks for more of a length than the histogram holds.
     """
-    there = {int(x) for x in lengths}
-    out = [(b, size - b) for b in sorted(there, reverse=True) if size - b in there and b >= size - b]
-    ordered = sorted(there, reverse=True)
-    step = max(1, int((len(ordered) ** 2 / max(1, most)) ** 0.5))
-    few = ordered[::step]
-    for i, a in enumerate(few):
-        for b in few[i:]:
-            rest = size - a - b
-            if rest <= 0:
-                continue
-            if rest in there and rest <= b:
-                out.append((a, b, rest))
-            if rest % 2 == 0 and rest // 2 in there and rest // 2 <= b:
-                out.append((a, b, rest // 2, rest // 2))
-            if len(out) >= most:
-                return out
-    return out
+    there = sorted(n for n, c in left.items() if c)
+    out: dict[tuple[int, ...], None] = {}
+
+    def completed(pattern: list[int]) -> None:
+        room = size - sum(pattern)
+        top = len(there)
+        while room > waste and len(pattern) < FEW:
+            i = bisect_right(there, min(room, pattern[-1]), 0, top) - 1
+            while i >= 0 and pattern.count(there[i]) >= left[there[i]]:
+                i -= 1
+            if i < 0:
+                return
+            pattern.append(there[i])
+            room -= there[i]
+            top = i + 1
+        if room <= waste:
+            out[tuple(pattern)] = None
+
+    for longest in reversed(there):
+        if size - longest <= waste:
+            out[(longest,)] = None
+            continue
+        n = bisect_right(there, min(longest, size - longest))
+        if size - longest in left and left[size - longest]:
+            completed([longest])
+        for i in sorted({round(x) for x in np.linspace(0, n - 1, min(n, SECONDS))}, reverse=True):
+            if there[i] < longest or left[longest] > 1:
+                completed([longest, there[i]])
+    return list(out)
 
 
 def nnls(members: list[tuple[int, ...]], counts: np.ndarray, rounds: int = 400) -> np.ndarray:
@@ -55,8 +72,8 @@ def nnls(members: list[tuple[int, ...]], counts: np.ndarray, rounds: int = 400)
     length = np.concatenate([np.array(m) for m in members])
     weight = 1.0 / np.maximum(1.0, counts)  # relative errors: rare lengths count as much as frequent ones
     shared = np.bincount(length, minlength=len(counts))
-    # the largest row sum of A'WA bounds its largest eigenvalue; a pattern has four members at most
-    rate = 1.0 / max(1e-12, 4 * float(np.max(np.bincount(owner, weights=(weight * shared)[length], minlength=len(members)))))
+    # a matrix without negative entries is at most the diagonal of its row sums: a step size for each pattern
+    rate = 1.0 / np.maximum(1e-12, np.bincount(owner, weights=(weight * shared)[length], minlength=len(members)))
     x = np.zeros(len(members))
     y, t = x.copy(), 1.0
     for _ in range(rounds):
@@ -117,31 +134,71 @@ def best_fit(left: dict[int, int], size: int, open_bins: Plan = ()) -> Plan:
     return done + [(p, m) for held in bins.values() for p, m in held]
 
 
+def rounded(members: list[tuple[int, ...]], fit: np.ndarray, left: Counter[int], size: int, slack: int) -> tuple[Plan, int]:
+    """Whole repeat counts: fits rounded down, then one more by largest remainder, within the histogram ``left``
+    (which is reduced) and while the patterns' waste stays within ``slack``; with what is left of the slack."""
+    times: Counter[int] = Counter()
+
+    def take(i: int, n: int) -> None:
+        nonlocal slack
+        need, waste = Counter(members[i]), size - sum(members[i])
+        n = min([n, *(left[x] // k for x, k in need.items()), *([slack // waste] if waste else [])])
+        if n > 0:
+            times[i] += n
+            slack -= n * waste
+            for x, k in need.items():
+                left[x] -= k * n
+
+    whole = np.floor(fit + 1e-9).astype(np.int64)
+    for i in np.flatnonzero(whole).tolist():
+        take(i, int(whole[i]))
+    for i in np.lexsort((np.arange(len(fit)), whole - fit)).tolist():
+        if fit[i] > 0:
+            take(i, 1)
+    return [(members[i], n) for i, n in times.items()], slack
+
+
+def fitted(histogram: dict[int, int], size: int) -> tuple[Plan, dict[int, int]]:
+    """(sequences by patterns, what they leave of the histogram).
+
+    Patterns are enumerated, fitted and rounded, and again on what is left, until a round adds few. All
+    waste together stays within the free room of the fewest sequences there can be, so that the patterns
+    cost no sequence. The shortest documents, a ``RESERVE``-th of all tokens, are kept out of patterns: with
+    lengths that no pattern fits they are the residual, whose gaps they fill.
+    """
+    left = Counter({n: c for n, c in histogram.items() if c})
+    out: Plan = []
+    tokens = sum(n * c for n, c in left.items())
+    slack, wanted = -tokens % size, tokens // RESERVE
+    reserve: Counter[int] = Counter()
+    for n in sorted(left):
+        reserve[n] = min(left[n], wanted // n)
+        wanted -= reserve[n] * n
+        left[n] -= reserve[n]
+        if left[n]:
+            break
+    for waste in (0, size // 512):
+        while members := patterns(left, size, min(waste, slack)):
+            counts = np.zeros(size + 1)
+            for n, c in left.items():
+                counts[n] = c
+            new, slack = rounded(members, nnls(members, counts), left, size, slack)
+            out += new
+            if sum(n for _, n in new) * 500 <= sum(n for _, n in out):  # the next rounds would add less and less
+                break
+    return out, {n: c for n, c in (left + reserve).items() if c}
+
+
 def plan(histogram: dict[int, int], size: int) -> Plan:
     """(lengths of a sequence, number of such sequences) for all pieces of a histogram.
 
-    Least-squares repeat counts of the patterns are rounded down and kept within the histogram; the
-    residual is packed best-fit. Best-fit over the whole histogram is computed as well, and the plan
-    of fewer sequences is returned.
+    The sequences of fitted patterns and best-fit ones for the residual. Best-fit over the whole
+    histogram is computed as well and returned where it needs fewer sequences.
     """
-    left = Counter({n: c for n, c in histogram.items() if c})
-    whole = best_fit(dict(left), size)
-    if not left:
-        return []
-    counts = np.zeros(size + 1)
-    for n, c in left.items():
-        counts[n] = c
-    members = patterns(np.array(sorted(left)), size)
-    fitted: Plan = []
-    for pattern, x in zip(members, nnls(members, counts), strict=True):
-        need = Counter(pattern)
-        times = min([int(x + 1e-9), *(left[n] // k for n, k in need.items())])
-        if times > 0:
-            fitted.append((pattern, times))
-            for n, k in need.items():
-                left[n] -= k * times
-    fitted += best_fit({n: c for n, c in left.items() if c}, size)
-    return min(fitted, whole, key=lambda p: sum(n for _, n in p))
+    by_pattern, residual = fitted(histogram, size)
+    mixed = by_pattern + best_fit(residual, size)
+    whole = best_fit({n: c for n, c in histogram.items() if c}, size)
+    return min(mixed, whole, key=lambda p: sum(n for _, n in p))
 
 
 def _slots(packed: Plan) -> dict[str, np.ndarray]:
