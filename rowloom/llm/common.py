@@ -64,6 +64,11 @@ def keyed_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("k"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
+def identified_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): the id as it is and the text (null as empty)."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+
+
 def real_id(k: Column | str = "k") -> Column:
     """The doc_id that an internal key stands for."""
     c = F.col(k) if isinstance(k, str) else k

@@ -6,13 +6,15 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from sys import byteorder
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import keyed_text, real_id
+from .common import identified_text
 from .tokens import WORDS_KEPT, encoder
 
 MARK = "▁"
@@ -124,18 +126,35 @@ class Trie:
         self.automaton = Automaton(model.ids)
 
     def merged(self, text: str) -> list[str]:
-        """BPE by definition: join the neighbours of best score, the leftmost of equals, until none join."""
+        """BPE by definition: join the neighbours of best score, the leftmost of equals, until none join.
+
+        Pairs wait in a heap, so a text of n characters takes n log n steps; a pair that has changed
+        since it was put there is passed over.
+        """
         ids, scores = self.model.ids, self.model.scores
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                j = ids.get(parts[i] + parts[i + 1])
-                if j is not None and (best is None or scores[j] > best):
-                    best, at = scores[j], i
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts: list[str | None] = list(text)
+        n = len(parts)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < n:
+                j = ids.get(both := parts[i] + parts[after[i]])
+                if j is not None:
+                    heappush(heap, (-scores[j], i, both))
+
+        for i in range(n):
+            offer(i)
+        while heap:
+            _, i, both = heappop(heap)
+            if parts[i] is None or (j := after[i]) >= n or parts[i] + parts[j] != both:
+                continue
+            parts[i], parts[j], after[i] = both, None, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            offer(before[i])
+            offer(i)
+        return [p for p in parts if p is not None]
 
     def _text(self, i: int) -> str:
         return self.model.pieces[i] if i >= 0 else chr(~i)
@@ -261,15 +280,18 @@ def _encoded(path: str):
                 texts = part.column(1).to_pylist()
                 ids = list(e.ids(texts))
                 lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(i) // 4 for i in ids]))).astype(np.int32), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["k", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
 
     return run
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """One row per document: doc_id and ids (array of int) of its whole text, as the model's own library gives them."""
-    got = keyed_text(docs).select("k", "text").mapInArrow(_encoded(model_path), "k long, ids array<int>")
-    return got.select(real_id().alias("doc_id"), "ids")
+    """One row per document: doc_id and ids (array of int) of its whole text, as the model's own library gives them.
+
+    A null or empty text has the empty array; a null doc_id stays null; repeated rows each give a row; an
+    empty table gives none; other columns are ignored. Texts are never cut.
+    """
+    return identified_text(docs).mapInArrow(_encoded(model_path), "doc_id long, ids array<int>")
 
 
 def _decoded(path: str):
@@ -283,8 +305,12 @@ def _decoded(path: str):
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, text) of (doc_id, ids); null ids give the empty text."""
-    return encoded.select("doc_id", "ids").mapInArrow(_decoded(model_path), "doc_id long, text string")
+    """(doc_id, text) of (doc_id, ids): pieces joined, runs of byte pieces read as UTF-8.
+
+    Null and empty ids give the empty text, a null doc_id stays null, repeated rows each give a row, an empty
+    table gives none, other columns are ignored.
+    """
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(_decoded(model_path), "doc_id long, text string")
 
 
 def _reported(path: str):
@@ -297,7 +323,7 @@ def _reported(path: str):
                 n.append(len(ids) // 4)
                 crc.append(zlib.crc32(ids))
                 same.append(e.decode(ids) == (t or "").replace(MARK, " "))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], ["k", "n_pieces", "ids_crc32", "round_trip"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "n_pieces", "ids_crc32", "round_trip"])
 
     return run
 
@@ -309,5 +335,4 @@ def encoding_report(docs: DataFrame, model_path: str) -> DataFrame:
     comes back as a blank, as in the library). A null or empty text has no pieces; a null doc_id
     stays null; repeated rows each give a row; an empty table gives none; other columns are ignored.
     """
-    got = keyed_text(docs).select("k", "text").mapInArrow(_reported(model_path), "k long, n_pieces long, ids_crc32 long, round_trip boolean")
-    return got.select(real_id().alias("doc_id"), "n_pieces", "ids_crc32", "round_trip")
+    return identified_text(docs).mapInArrow(_reported(model_path), "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed_text, real_id, scratch_path
+from .common import identified_text, scratch_path, spread_join, stored
 
 #: Entries of a generation of a worker's cache of encoded words. Two are kept, so its memory is bounded.
 WORDS_KEPT = 300_000
@@ -61,11 +61,30 @@ class Generations(dict):
         return got
 
 
+def drops_blanks(path: str) -> bool:
+    """Whether a tokenizer file is known to encode a text as its words in turn, white space dropped.
+
+    That holds where white space is normalised to blanks, letters are lower-cased and only runs
+    without white space are kept by the splitting rule. Of any other file nothing is assumed.
+    """
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        shape = json.load(f)
+    norms = (shape.get("normalizer") or {}).get("normalizers", [])
+    splits = (shape.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if [n["type"] for n in norms] != ["NFC", "Replace", "Lowercase"] or [p["type"] for p in splits] != ["Split", "ByteLevel"]:
+        return False
+    kept = splits[0]["behavior"] == "Removed" and splits[0]["invert"] and splits[0]["pattern"].get("Regex", "").endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    return bool(kept) and norms[1]["pattern"] == {"Regex": r"\s+"} and norms[1]["content"] == " " and not splits[1]["add_prefix_space"] and not splits[1]["use_regex"]
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer of the ``tokenizers`` library that drops white space.
+    """Ids of texts by a tokenizer of the ``tokenizers`` library.
 
-    No token of such a tokenizer crosses white space, so a text's ids are those of its words in
-    turn; the library encodes each distinct word once. Ids are little-endian unsigned 32-bit.
+    Where the tokenizer drops white space (``drops_blanks``) no token crosses it, so a text's ids are
+    those of its words in turn, and the library encodes each distinct word once. Any other
+    tokenizer encodes whole texts. Ids are little-endian unsigned 32-bit.
     """
 
     def __init__(self, path: str):
@@ -78,8 +97,7 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         # the model can be asked directly for plain words: letters that the tokenizer lower-cases, keeps together and spells in bytes
-        shape = json.loads(self.library.to_str())
-        self.plain = [n["type"] for n in (shape["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in (shape["pre_tokenizer"] or {}).get("pretokenizers", [])] == ["Split", "ByteLevel"]
+        self.plain = drops_blanks(path)
         self.words = Generations(self._word, WORDS_KEPT)
         self.ends = Generations(self._whole, 10_000)
 
@@ -92,8 +110,6 @@ class WordEncoder:
 
     def _word(self, word: bytes) -> bytes:
         """The ids of a word. One of plain letters and closing marks is encoded apart from its marks, by the model alone."""
-        if not self.plain:
-            return self._whole(word)
         core = word.rstrip(_ENDS)
         if core.isalpha():  # ASCII letters
             spelled = core.lower().decode()
@@ -109,7 +125,8 @@ class WordEncoder:
         """The ids of each text; null gives none."""
         get = self.words.__getitem__
         for t in texts:
-            yield b"".join(map(get, (t or "").encode("utf-8", "replace").split()))
+            raw = (t or "").encode("utf-8", "replace")
+            yield b"".join(map(get, raw.split())) if self.plain else self._whole(raw)
 
 
 _encoders: dict[tuple[str, str], WordEncoder] = {}
@@ -165,15 +182,16 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     version = tokenizer_digest(tokenizer_path)
     cache_path = cache_path or scratch_path(spark, "token-cache")
     text = F.coalesce(docs["text"], F.lit(""))
-    norm = text if tokenizer_path.endswith(".model") else F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
+    norm = F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")) if drops_blanks(tokenizer_path) else text
+    rows = stored(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(norm, 256)).alias("digest")), "digests")
+    sizes = stored(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n_rows")), "digest-sizes")
     seen = _read_cache(spark, cache_path, version)
-    contents = docs.select(F.sha2(norm, 256).alias("digest"), norm.alias("norm"))
+    contents = docs.select(F.unhex(F.sha2(norm, 256)).alias("digest"), norm.alias("norm"))
     missing = contents if seen is None else contents.join(seen.select("digest"), "digest", "left_anti")
-    encoded = missing.dropDuplicates(["digest"]).select("digest", "norm").mapInArrow(_count(tokenizer_path), "digest string, n_tokens long")
+    encoded = missing.dropDuplicates(["digest"]).select("digest", "norm").mapInArrow(_count(tokenizer_path), "digest binary, n_tokens long")
     encoded.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
-    known = _read_cache(spark, cache_path, version).dropDuplicates(["digest"])
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(norm, 256).alias("digest"))
-    return rows.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    known = stored(sizes.join(_read_cache(spark, cache_path, version).dropDuplicates(["digest"]), "digest"), "known")
+    return spread_join(rows, known, ["digest"], "n_rows", rows.count()).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def _read_cache(spark: SparkSession, path: str, version: str) -> DataFrame | None:
@@ -181,7 +199,7 @@ def _read_cache(spark: SparkSession, path: str, version: str) -> DataFrame | Non
     at = jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         return None
-    return spark.read.schema("version string, digest string, n_tokens long").parquet(path).where(F.col("version") == version).select("digest", "n_tokens")
+    return spark.read.schema("version string, digest binary, n_tokens long").parquet(path).where(F.col("version") == version).select("digest", "n_tokens")
 
 
 def _pieces(path: str, longest: int, end_id: int):
@@ -199,12 +217,15 @@ def _pieces(path: str, longest: int, end_id: int):
                     start.append(at // 4)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["k", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, longest: int = 4096, end_id: int = 1) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): each document's ids and ``end_id``, cut only where longer than ``longest``."""
-    got = keyed_text(docs).select("k", "text").mapInArrow(_pieces(tokenizer_path, longest, end_id), "k long, piece int, start long, length long, ids_crc32 long")
-    return got.select(real_id().alias("doc_id"), "piece", "start", "length", "ids_crc32")
+    """(doc_id, piece, start, length, ids_crc32): each document's ids and ``end_id``, cut only where longer than ``longest``.
+
+    A null or empty text is ``end_id`` alone; a null doc_id stays null; repeated rows each give their pieces; an
+    empty table gives none; other columns are ignored.
+    """
+    return identified_text(docs).mapInArrow(_pieces(tokenizer_path, longest, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")

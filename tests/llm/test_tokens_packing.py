@@ -8,8 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from rowloom.llm.packing import best_fit, nnls, pack, plan
-from rowloom.llm.tokens import WordEncoder, token_counts
+from rowloom.llm.packing import best_fit, fitted, nnls, pack, plan
+from rowloom.llm.tokens import WordEncoder, drops_blanks, token_counts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -108,3 +108,30 @@ def test_nnls_reaches_an_exact_fit():
         for v in m:
             got[v] += n
     assert (x >= 0).all() and np.abs(got - counts).max() < 0.5
+
+
+def test_most_sequences_come_from_patterns():
+    rng = random.Random(9)
+    for rows in (300, 3_000, 60_000):
+        h = Counter(min(4096, max(1, int(rng.lognormvariate(5.8, 1.1)))) for _ in range(rows))
+        packed, by_pattern = plan(h, 4096), fitted(h, 4096)[0]
+        total = sum(n for _, n in packed)
+        assert total == -(-sum(k * v for k, v in h.items()) // 4096)
+        assert packed[: len(by_pattern)] == by_pattern
+        assert sum(n for _, n in by_pattern) >= 0.75 * total
+
+
+def test_a_tokenizer_that_keeps_white_space_gets_whole_texts(make):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert drops_blanks(PATH) and not drops_blanks(path) and not drops_blanks(public_tokenizers.path("piece_bpe_32k.model"))
+    library = Tokenizer.from_file(path)
+    rows = [(1, "a  b\n\nc"), (2, "a b\nc"), (3, " a b c "), (4, None), (5, "a  b\n\nc")]
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts(make(rows), path).collect()}
+    assert got == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in rows}
+    assert np.frombuffer(next(WordEncoder(path).ids(["a  b\n c"])), "<u4").tolist() == library.encode("a  b\n c").ids
+
+
+def test_a_content_of_most_rows_and_the_least_doc_id(make):
+    rows = [(i - 2**63, "the same") for i in range(1200)] + [(i, f"word{i}") for i in range(900)]
+    got = sorted((r["doc_id"], r["n_tokens"]) for r in token_counts(make(rows), PATH).collect())
+    assert got == sorted((i, len(ids(t))) for i, t in rows)
