@@ -12,15 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_text, real_id, stored
+from .common import identified_text, stored
 from .pieces import MARK, Automaton, Model
 from .tokens import WORDS_KEPT
 
-_LETTERS = re.compile(r"[^\W\d_]+")
-#: Words are scored in parts of so many characters, so that no product of probabilities vanishes.
+_WORDS = re.compile(r"[^\W\d_]+")
+#: Runs of more letters are fitted (not scored) in parts, since forward and backward sums of one need the same scale.
 PART = 48
-#: Pieces of more characters are left out of the vocabulary: they are rare, and lookups per character are these.
-LONGEST = 8
+#: Positions after which sums are scaled anew, and cells (words times positions) of a lattice.
+STEP, CELLS = 16, 240_000
 UNKNOWN = 1e-7
 
 
@@ -29,20 +29,27 @@ def vocabulary(path: str) -> dict[str, int]:
     out: dict[str, int] = {}
     for p in Model(path).ids:
         p = p.lower()
-        if len(p) <= LONGEST and (p.lstrip(MARK).isalpha() or p == MARK) and p.count(MARK) <= 1 and p not in out:
+        if (p.lstrip(MARK).isalpha() or p == MARK) and p.count(MARK) <= 1 and p not in out:
             out[p] = len(out) + 1
     return out
 
 
-def parts_of(word: str) -> list[str]:
-    """The letter runs of a word, lower-cased and marked, in parts of ``PART`` characters."""
+def runs_of(word: str) -> list[str]:
+    """The runs of letters (Unicode category L) of a word, lower-cased and marked."""
     out = []
-    for run in _LETTERS.findall(word.lower()):
-        run = MARK + run
-        out += [run[i : i + PART] for i in range(0, len(run), PART)]
+    for run in _WORDS.findall(word.lower()):
+        if run.isalpha():
+            out.append(MARK + run)
+        else:  # numerals that are no digits
+            out += [MARK + x for x in "".join(c if c.isalpha() else " " for c in run).split()]
     return out
 
 
+def parts_of(word: str) -> list[str]:
+    """The runs of a word in parts of at most ``PART`` characters."""
+    return [run[i : i + PART] for run in runs_of(word) for i in range(0, len(run), PART)]
+
+
 class Vocabulary:
     """The pieces that end at each node of their automaton, in flat arrays; a node without a piece of
     one character has the unknown one."""
@@ -51,6 +58,7 @@ class Vocabulary:
         self.automaton = Automaton(vocab)
         ends = [e if any(n == 1 for n, _ in e) else [*e, (1, 0)] for e in self.automaton.ends]
         self.first = np.concatenate(([0], np.cumsum([len(e) for e in ends])))
+        self.longest = max(map(len, vocab), default=1)
         self.lengths = np.array([n for e in ends for n, _ in e], np.int64)
         self.ids = np.array([i for e in ends for _, i in e], np.int64)
 
@@ -100,6 +108,28 @@ class Lattice:
         """(words, languages): the probability of each word, over all its segmentations."""
         return self.forward(prob)[np.arange(self.n), self.length] if self.n else np.zeros((0, prob.shape[1]))
 
+    def log_totals(self, prob: np.ndarray, longest: int) -> np.ndarray:
+        """The logarithms of ``totals`` for words of any length, no piece being longer than ``longest``.
+
+        Every ``STEP`` positions the sums that later positions can still ask for are scaled to 1 at most.
+        """
+        out = np.zeros((self.n, self.most + 1, prob.shape[1]))
+        out[:, 0] = 1.0
+        logs = np.zeros((self.n, prob.shape[1]))
+        for end, edges in enumerate(self._by(self.e)):
+            if not len(edges):
+                continue
+            w = self.w[edges]
+            first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+            out[w[first], end] = np.add.reduceat(out[w, self.s[edges]] * prob[self.p[edges]], first, axis=0)
+            if not end % STEP:
+                on = np.flatnonzero(self.length > end)
+                last = out[on, max(0, end - longest + 1) : end + 1]
+                top = last.max(axis=1)
+                out[on, max(0, end - longest + 1) : end + 1] = last / top[:, None]
+                logs[on] += np.log(top)
+        return np.log(np.maximum(out[np.arange(self.n), self.length], 1e-300)) + logs
+
     def expected(self, prob: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
         """Expected uses of each piece in one language (``prob`` has one column) over words that occur ``counts`` times."""
         f, b = self.forward(prob)[:, :, 0], self.backward(prob)[:, :, 0]
@@ -137,7 +167,7 @@ class Scorer:
         numbers: dict[str, int] = {}  # of the distinct parts
         parts, owner = [], []
         for w in new:
-            own = parts_of(w.decode("utf-8", "replace"))
+            own = runs_of(w.decode("utf-8", "replace"))
             if not own:
                 self.rows[w] = 0
                 continue
@@ -149,9 +179,16 @@ class Scorer:
         while len(self.scores) < self.used:
             self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
         if numbers:
-            ordered = list(numbers)
-            logs = [np.log(np.maximum(Lattice(ordered[i : i + 5000], self.vocab).totals(self.model.prob), 1e-300)) for i in range(0, len(ordered), 5000)]
-            np.add.at(self.scores, np.array(owner), np.concatenate(logs)[np.array(parts)])
+            ordered = sorted(numbers, key=len)  # words of like length share a lattice
+            logs = np.zeros((len(ordered), self.scores.shape[1]))
+            at = 0
+            while at < len(ordered):
+                end = at + 1
+                while end < len(ordered) and (end - at + 1) * len(ordered[end]) <= CELLS:
+                    end += 1
+                logs[[numbers[x] for x in ordered[at:end]]] = Lattice(ordered[at:end], self.vocab).log_totals(self.model.prob, self.vocab.longest)
+                at = end
+            np.add.at(self.scores, np.array(owner), logs[np.array(parts)])
 
     def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         """The language and its score for each text. The score is the posterior (equal priors) with the
@@ -215,15 +252,19 @@ def _expected(vocab_path: str, languages: list[str], prob: np.ndarray):
     return run
 
 
-def train(docs: DataFrame, vocab_path: str, rows_per_language: int = 3000, languages: int = 200, rounds: int = 2) -> LanguageModel:
+def train(docs: DataFrame, vocab_path: str, rows_per_language: int = 3000, rounds: int = 2) -> LanguageModel:
     """Piece probabilities from the text and lang of documents whose crc32(doc_id) mod 5 is not 0.
 
-    Learns the ``languages`` most frequent values of lang, each from at most ``rows_per_language``
-    rows taken by a hash of doc_id. Expectation maximisation starts from equal probabilities;
-    expected counts are summed on the executors and the driver gets one number per piece and language.
+    Learns every value of lang, each from at most ``rows_per_language`` rows taken by a hash of doc_id.
+    Expectation maximisation starts from equal probabilities; expected counts are summed on the
+    executors and the driver gets one number per piece and language. For the fit alone, runs of over
+    ``PART`` letters are cut into parts.
+
+    Rows with a null text, lang or doc_id are not learned from; repeated rows count each; other columns
+    are ignored; from a table without labels comes a model of no language, which finds every text ``und``.
     """
     labelled = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull() & (~held_out(docs["doc_id"]))).select(docs["lang"].cast("string").alias("lang"), docs["text"].alias("text"), F.xxhash64(docs["doc_id"]).alias("at"))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row per language
     names = sorted(counts)
     vocab = vocabulary(vocab_path)
     prob = np.full((len(vocab) + 1, max(1, len(names))), 1.0 / len(vocab))
@@ -257,7 +298,7 @@ def _predicted(model: LanguageModel):
         scorer = _scorer(model)
         for b in batches:
             got = list(scorer.predict(b.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["k", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return run
 
@@ -265,12 +306,13 @@ def _predicted(model: LanguageModel):
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score (0 to 1).
 
-    ``und`` with score 0 where the text is null or has no letter. Only the text is read. A null
+    ``und`` with score 0 where the text is null or has no letter (Unicode category L). All
+    segmentations of every run of letters are summed, whatever its length. Only the text is read. A null
     doc_id stays null and counts as held out; repeated rows each give a row; an empty table gives
     none; other columns are ignored. Ties go to the language first in the alphabet.
     """
-    got = keyed_text(docs).select("k", "text").mapInArrow(_predicted(model), "k long, lang_pred string, score double")
-    return got.select(real_id().alias("doc_id"), held_out(real_id()).alias("held_out"), "lang_pred", "score")
+    got = identified_text(docs).mapInArrow(_predicted(model), "doc_id long, lang_pred string, score double")
+    return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def _judged(model: LanguageModel, least: float, text_at: int):
@@ -284,5 +326,9 @@ def _judged(model: LanguageModel, least: float, text_at: int):
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
-    """``docs``, all columns, without those whose language is ``und`` or scores under ``least``."""
+    """``docs``, all columns, without those whose language is ``und`` or scores under ``least``.
+
+    Null, empty and letterless texts are ``und``; repeated rows are judged alike and each stays or goes; a null
+    doc_id matters to nothing; an empty table gives no rows.
+    """
     return docs.mapInArrow(_judged(model, least, docs.columns.index("text")), docs.schema)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowloom.llm import langid
-from rowloom.llm.langid import Lattice, identify, keep_identified, train, vocabulary
+from rowloom.llm.langid import Lattice, Scorer, Vocabulary, identify, keep_identified, train, vocabulary
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -79,4 +79,32 @@ def test_odd_rows(make, odd_rows, model):
 
 def test_vocabulary_is_fixed():
     v = vocabulary(PATH)
-    assert len(v) > 15_000 and max(map(len, v)) <= langid.LONGEST and sorted(v.values()) == list(range(1, len(v) + 1))
+    assert len(v) > 15_000 and sorted(v.values()) == list(range(1, len(v) + 1))
+
+
+def test_letters_are_those_of_category_l(make, model):
+    got = {r["doc_id"]: r["lang_pred"] for r in identify(make([(1, "\u00b2\u00bd"), (2, "\u2160 \u3007"), (3, "\u00b2a\u00bd"), (4, "\u02b0"), (5, "1_2")]), model).collect()}
+    assert [i for i, lang in got.items() if lang == "und"] == [1, 2, 5]
+
+
+def test_long_words_are_summed_whole():
+    from fractions import Fraction
+
+    vocab = {"a": 1, "ab": 2, "b": 3, "abab": 4}
+    prob = np.array([[1e-7, 1e-7], [0.01, 1e-5], [0.2, 1e-6], [0.001, 1e-4], [0.05, 1e-3]])
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abx"), n)) for n in (1, 5, 15, 16, 17, 32, 33, 300, 1500)]
+    got = Lattice(words, vocab).log_totals(prob, Vocabulary(vocab).longest)
+    for i, w in enumerate(words):
+        for lang in (0, 1):
+            sums = [Fraction(1)]
+            for end in range(1, len(w) + 1):
+                pieces = [(n, vocab.get(w[end - n : end], 0 if n == 1 else None)) for n in range(1, min(4, end) + 1)]
+                sums.append(sum(sums[end - n] * Fraction(prob[j, lang]) for n, j in pieces if j is not None))
+            total = sums[-1]
+            log = float(np.log(float(total * 10 ** (shift := 9 * len(w)))) - shift * np.log(10)) if len(w) < 30 else (total.numerator.bit_length() - total.denominator.bit_length()) * np.log(2)
+            assert got[i, lang] == pytest.approx(log, abs=1.0 if len(w) >= 30 else 1e-6)
+
+
+def test_one_very_long_word(model):
+    assert len(list(Scorer(model).predict(["the" * 40_000, "the cat and the dog are here " + "x" * 60_000]))) == 2

@@ -80,3 +80,14 @@ def test_table(make, odd_rows):
     back = decode(encoded, PATH).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in back), key=str) == sorted(((i, t or "") for i, t in rows), key=str)
     assert encoding_report(make([]), PATH).collect() == []
+
+
+def test_long_runs_of_blanks_take_little_time():
+    import time
+
+    for n in (1, 2, 15, 16, 17, 33, 1000, 4097):
+        assert ids(" " * n + "word") == LIBRARY.encode(" " * n + "word"), n
+        assert ids("a" + " " * n) == LIBRARY.encode("a" + " " * n), n
+    began = time.perf_counter()
+    got = ids("a" + " " * 100_000 + "b")
+    assert time.perf_counter() - began < 20 and got == LIBRARY.encode("a" + " " * 100_000 + "b")
