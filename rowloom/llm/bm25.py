@@ -15,13 +15,12 @@ from .common import keyed_text, real_id, scratch_path, stored
 K1, B = 1.2, 0.75
 #: Scores are sums of whole ten-thousandths, so that no order of summing changes a rank.
 UNIT = 10_000
-#: A shard ends at so many documents or bytes of text; so many documents make a block.
-SHARD_DOCS, SHARD_BYTES, BLOCK = 4096, 12_000_000, 16
-#: A query of more terms than MANY is pruned only where the terms that can make a hit hold less than this part
-#: of its postings: the sum of many terms' greatest impacts in a block is far above any document's score.
-MANY, PRUNED = 48, 0.5
+#: A shard ends at so many documents or bytes of text; so many documents of like length make a block.
+SHARD_DOCS, SHARD_BYTES, BLOCK = 4096, 12_000_000, 8
+#: A term in at least this part of a shard's documents is frequent there: its impacts are held by document.
+FREQUENT = 8
 #: Terms of queries that are broadcast at a time (16 bytes each); more queries make more blocks of queries.
-QUERY_TERMS = 2_000_000
+QUERY_TERMS = 400_000
 _SHARD = "docs binary, lengths binary, terms binary, starts binary, members binary, uses binary, n long, words long"
 
 
@@ -44,11 +43,13 @@ def term_hash(word: bytes) -> int:
 
 def _shard_row(docs: list[int], texts: list[str | None]) -> dict:
     ids = _Ids()
-    lengths, parts = [], []
+    parts = []
     for t in texts:
         words = terms_of(t)
-        lengths.append(len(words))
         parts.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
+    by_length = sorted(range(len(docs)), key=lambda i: len(parts[i]))  # so that a block's greatest impact is near all of them
+    docs, parts = [docs[i] for i in by_length], [parts[i] for i in by_length]
+    lengths = [len(p) for p in parts]
     hashes = np.array([term_hash(w) for w in ids], dtype=np.uint64)
     order = np.argsort(hashes)
     rank = np.empty(len(order), np.int64)
@@ -82,7 +83,11 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """The stored index: a row for each shard with its documents, lengths, sorted terms and postings."""
+    """The stored index: a row for each shard with its documents (by length), lengths, sorted terms and postings.
+
+    A null text is a document without terms, a null doc_id is kept as ``NULL_ID``, repeated rows are documents each, an
+    empty table gives no shards, other columns are ignored.
+    """
     return stored(keyed_text(docs).select("k", "text").mapInArrow(_indexed, _SHARD), "inverted-index")
 
 
@@ -144,7 +149,11 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """One shard's postings of a block of queries' terms, with the greatest impact in each block of documents."""
+    """One shard's postings of a block of queries' terms.
+
+    Rare terms keep lists of postings. Frequent ones have their impacts by document in a row of
+    ``dense``, and in ``greatest`` their greatest impact in each block of documents.
+    """
 
     def __init__(self, row: dict, q: Queries):
         self.docs = np.frombuffer(row["docs"], "<i8")
@@ -155,81 +164,85 @@ class Shard:
         self.local[theirs] = np.arange(len(mine))
         df = starts[mine + 1] - starts[mine]
         at = _ranges(starts[mine], starts[mine + 1])
-        self.members = np.frombuffer(row["members"], "<u2")[at].astype(np.int64)
+        members = np.frombuffer(row["members"], "<u2")[at].astype(np.int64)
         uses = np.frombuffer(row["uses"], "<i4")[at].astype(np.float64)
         owner = np.repeat(np.arange(len(mine)), df)
-        self.impacts = impacts(q.idf[theirs][owner], uses, lengths[self.members], q.average)
-        # an entry for each term and block that it occurs in: its postings and their greatest impact
-        block = self.members // BLOCK
-        new = np.ones(len(at), bool)
-        new[1:] = (block[1:] != block[:-1]) | (owner[1:] != owner[:-1])
-        self.entry = np.append(np.flatnonzero(new), len(at))
-        self.block = block[self.entry[:-1]]
-        self.greatest = np.maximum.reduceat(self.impacts, self.entry[:-1]) if len(at) else np.zeros(0, np.int64)
-        self.term_entries = np.searchsorted(owner[self.entry[:-1]], np.arange(len(mine) + 1))
-        self.term_greatest = np.maximum.reduceat(self.greatest, self.term_entries[:-1]) if len(mine) else np.zeros(0, np.int64)
-        self.df = df
-        self.ends = np.cumsum(df)
-        self.weights = self.impacts.astype(np.float64)
-        self.blocks = -(-len(self.docs) // BLOCK)
-        self.scored = 0
-
-    def _best(self, score: np.ndarray, k: int, best: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
-        found = np.flatnonzero(score >= least)
-        if len(found) > k:
-            found = found[score[found] >= np.partition(score[found], -k)[-k]]
-        return sorted([*best, *zip(score[found].tolist(), (-self.docs[found]).tolist(), strict=True)], reverse=True)[:k]
+        weights = impacts(q.idf[theirs][owner], uses, lengths[members], q.average)
+        self.df, self.ends = df, np.cumsum(df)
+        self.members, self.weights = members, weights.astype(np.float64)
+        self.most = np.maximum.reduceat(weights, self.ends - df) if len(mine) else np.zeros(0, np.int64)
+        frequent = np.flatnonzero(df * FREQUENT >= len(self.docs))
+        self.row = np.full(len(mine), -1, np.int64)
+        self.row[frequent] = np.arange(len(frequent))
+        self.block = np.arange(len(self.docs)) // BLOCK
+        blocks = -(-len(self.docs) // BLOCK)
+        self.dense = np.zeros((len(frequent), blocks * BLOCK), np.int32)
+        p = np.flatnonzero(self.row[owner] >= 0)
+        self.dense[self.row[owner[p]], members[p]] = weights[p]
+        self.greatest = self.dense.reshape(len(frequent), blocks, BLOCK).max(axis=2) if len(frequent) else np.zeros((0, blocks), np.int32)
+        #: Postings of the queries searched so far, and those of them that were looked at.
+        self.postings = self.scored = 0
+
+    @staticmethod
+    def _kth(score: np.ndarray, k: int, least: int) -> int:
+        """``least``, or the k-th best score where that is more."""
+        return max(least, int(np.partition(score, -k)[-k])) if len(score) >= k else least
 
     def search(self, places: np.ndarray, k: int, best: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """The k best (score, -doc) of ``best`` and this shard for a query's terms, best first.
 
-        Weak terms, whose greatest impacts together stay under the k-th best score so far, can't make
-        a hit alone. Only blocks
-        of documents with one of those are looked at, and a block is scored only while its greatest
-        impacts, with all that weak terms can add, reach the k-th best score. A query of many terms,
-        nearly all needed, has nothing to skip, so its postings are summed straight.
+        ``least`` is what a hit must reach: the k-th best score so far, and then the k-th best of the
+        sums in this shard, which only grow. Terms are taken by falling greatest impact. Rare terms before the pivot,
+        from where all later terms together stay under ``least``, are summed for all documents. From then on only
+        documents are looked at whose sum can still reach ``least`` with the greatest impacts that the terms to come
+        have in their block; the frequent terms come in groups, after each of which fewer documents are left.
         """
         t = self.local[places]
         t = t[t >= 0]
-        if not len(t):
-            return best
         least = best[k - 1][0] if len(best) >= k else 1
-        t = t[np.argsort(self.term_greatest[t], kind="stable")]
-        sums = np.cumsum(self.term_greatest[t])
-        weak = int(np.searchsorted(sums, least))
-        if weak == len(t):
+        if not len(t):
             return best
-        total = int(self.df[t].sum())
-        if len(t) > MANY and int(self.df[t[weak:]].sum()) > PRUNED * total:
-            p = _ranges(self.ends[t] - self.df[t], self.ends[t])
-            self.scored += total
-            score = np.bincount(self.members[p], weights=self.weights[p], minlength=len(self.docs))
-            return self._best(score.astype(np.int64), k, best, least)
-        e = _ranges(self.term_entries[t[weak:]], self.term_entries[t[weak:] + 1])
-        bound = np.bincount(self.block[e], weights=self.greatest[e], minlength=self.blocks).astype(np.int64)
-        bound[bound > 0] += sums[weak - 1] if weak else 0
-        order = np.flatnonzero(bound >= least)
-        if not len(order):
+        self.postings += int(self.df[t].sum())
+        t = t[np.argsort(-self.most[t], kind="stable")]
+        most = self.most[t]
+        tail = np.cumsum(most[::-1])[::-1]  # what a term and all after it can add
+        if tail[0] < least:
             return best
-        order = order[np.argsort(-bound[order], kind="stable")]
-        e = _ranges(self.term_entries[t], self.term_entries[t + 1])
-        block = self.block[e]
-        at, step = 0, 8
-        while at < len(order):
-            least = best[k - 1][0] if len(best) >= k else 1
-            some = order[at : at + step]
-            some = some[bound[some] >= least]
-            if not len(some):
-                break
-            take = np.zeros(self.blocks, bool)
-            take[some] = True
-            own = e[take[block]]
-            p = _ranges(self.entry[own], self.entry[own + 1])
+        pivot = int(np.searchsorted(-tail, -least, side="right"))
+        rare = self.row[t] < 0
+        strong, weak, rows = t[:pivot][rare[:pivot]], t[pivot:][rare[pivot:]], self.row[t[~rare]]
+        n = len(self.docs)
+        p = _ranges(self.ends[strong] - self.df[strong], self.ends[strong])
+        self.scored += len(p)
+        score = np.bincount(self.members[p], weights=self.weights[p], minlength=n).astype(np.int64)
+        least = self._kth(score, k, least)
+        # what the rare terms after the pivot and each group of frequent terms can add, by block
+        cuts = [0]
+        while cuts[-1] < len(rows):
+            cuts.append(min(len(rows), cuts[-1] + max(4, cuts[-1])))
+        bounds = [self.greatest[rows[a:b]].sum(axis=0, dtype=np.int64) for a, b in zip(cuts, cuts[1:], strict=False)]
+        rest = sum(bounds, np.zeros(self.greatest.shape[1], np.int64))
+        live = np.flatnonzero(score + (rest + int(self.most[weak].sum()))[self.block] >= least)
+        if len(weak) and len(live):
+            p = _ranges(self.ends[weak] - self.df[weak], self.ends[weak])
+            on = np.zeros(n, bool)
+            on[live] = True
+            p = p[on[self.members[p]]]
             self.scored += len(p)
-            best = self._best(np.bincount(self.members[p], weights=self.weights[p], minlength=len(self.docs)).astype(np.int64), k, best, least)
-            at += step
-            step *= 4
-        return best
+            score += np.bincount(self.members[p], weights=self.weights[p], minlength=n).astype(np.int64)
+        sums = score[live]
+        for a, b, bound in zip(cuts, cuts[1:], bounds, strict=False):
+            keep = sums + rest[self.block[live]] >= least
+            live, sums = live[keep], sums[keep]
+            if not len(live):
+                return best
+            held = self.dense[np.ix_(rows[a:b], live)]
+            self.scored += int(np.count_nonzero(held))
+            sums = sums + held.sum(axis=0, dtype=np.int64)
+            rest = rest - bound
+            least = self._kth(sums, k, least)
+        found = np.flatnonzero(sums >= least)
+        return sorted([*best, *zip(sums[found].tolist(), (-self.docs[live[found]]).tolist(), strict=True)], reverse=True)[:k]
 
 
 def _searched(q: Queries):
