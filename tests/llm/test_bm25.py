@@ -59,20 +59,30 @@ def test_pruning_skips_and_stays_exact(monkeypatch):
     assert scored < 0.5 * total
 
 
-def test_whole_texts_as_queries_skip_most_postings(spark):
-    rows = [(r[0], r[1]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("doc_id", "text").collect()]
-    df = Counter(w for _, t in rows for w in set(terms_of(t)))
+def searched(rows, size):
+    """Hits of the rows whose id is divisible by 100, and the part of their postings that was looked at."""
+    terms = [set(terms_of(t)) for _, t in rows]
+    df = Counter(w for own in terms for w in own)
     n, average = len(rows), sum(len(terms_of(t)) for _, t in rows) / len(rows)
-    asked = [(i, w) for i, t in rows if i % 100 == 0 for w in set(terms_of(t))]
+    asked = [(i, w) for (i, _), own in zip(rows, terms, strict=True) if i % 100 == 0 for w in own]
     h = np.array([bm25.term_hash(w) for _, w in asked], np.uint64).view(np.int64)
     q = Queries.of(np.array([i for i, _ in asked]), h, np.array([math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) for _, w in asked]), average, 10)
-    shard = Shard(_shard_row([i for i, _ in rows], [t for _, t in rows]), q)
-    got = []
-    for j in range(len(q.ids)):
-        best = shard.search(q.places[q.starts[j] : q.starts[j + 1]], 10, [])
-        got += [(int(q.ids[j]), r + 1, -d, s / 10_000) for r, (s, d) in enumerate(best)]
-    assert sorted(got, key=str) == brute(rows, [r for r in rows if r[0] % 100 == 0], 10)
-    assert shard.scored < 0.5 * shard.postings
+    best, scored, postings = [[] for _ in q.ids], 0, 0
+    for at in range(0, n, size):
+        shard = Shard(_shard_row([i for i, _ in rows[at : at + size]], [t for _, t in rows[at : at + size]]), q)
+        best = [shard.search(q.places[q.starts[j] : q.starts[j + 1]], 10, own) for j, own in enumerate(best)]
+        scored, postings = scored + shard.scored, postings + shard.postings
+    return [(int(q.ids[j]), r + 1, -d, s / 10_000) for j, own in enumerate(best) for r, (s, d) in enumerate(own)], scored / postings
+
+
+def documents(spark, sf):
+    return [(r[0], r[1]) for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").orderBy("doc_id").select("doc_id", "text").collect()]
+
+
+def test_whole_texts_as_queries(spark):
+    rows = documents(spark, "sf0.01")
+    assert sorted(searched(rows, 400)[0], key=str) == brute(rows, [r for r in rows if r[0] % 100 == 0], 10)
+    assert searched(documents(spark, "sf0.1"), bm25.SHARD_DOCS)[1] < 0.5
 
 
 def test_odd_rows(make, spark, odd_rows):
