@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import BadValue, TypeMismatch
 from ..functions import types as L
-from ..plans.frame import POS, Frame
+from ..plans.frame import POS, Frame, ranks
+from .search import first_rows
 
 
 def summed(c: Column, ltype: str) -> Column:
@@ -40,19 +43,30 @@ def minmax(frame: Frame, column: str | int = 0, *, positions: bool = False, noca
     """(min, max) of a column, or the lowest positions of both. No rows: an error when it runs."""
     name = frame.name(column)
     key = F.lower(name) if nocase and frame.type(name) in ("string", "any") else F.col(name)
-    rows = frame.numbered() if positions or span is not None or nocase else frame.df
+    rows = frame.df
     if span is not None:
-        rows = rows.where(F.col(POS).between(max(0, span[0]), span[1]))
-    if positions:
-        low, high = F.min_by(POS, F.struct(key, POS)), F.max_by(POS, F.struct(key, -F.col(POS)))
-    elif nocase:
-        low, high = F.min_by(name, F.struct(key, POS)), F.max_by(name, F.struct(key, -F.col(POS)))
-    else:
-        low, high = F.min(name), F.max(name)
+        rows = frame.numbered().where(F.col(POS).between(max(0, span[0]), span[1]))
+        frame = Frame(rows)
+    order = F.struct(*(F.col(o) for o in frame.order))
+    low, high, kept = F.min(name), F.max(name), rows
+    if positions or nocase:  # the first row, by the frame's order, of the least and of the greatest key
+        ends = rows.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+        least, greatest = (ends.select(c).scalar() for c in ("lo", "hi"))
+        ordinal = F.col(POS) if frame.order == (POS,) else order
+        pick = (lambda end: F.min(F.when(key == end, ordinal))) if positions else (lambda end: F.min_by(name, F.when(key == end, order)))
+        low, high = pick(least), pick(greatest)
+        kept = rows.where((key == least) | (key == greatest))
+        if positions and frame.order != (POS,):
+            two = kept.agg(low.alias("min"), high.alias("max"), F.count(F.lit(1)).alias("n"))
+            at = ranks(frame, two.select(F.explode(F.array("min", "max")).alias("at")).where("at is not null").distinct())
+            kept = at
+            # which of both is the first of the least key is known from the rows themselves
+            first = two.select((F.col("min") <= F.col("max")).alias("f")).scalar()
+            low, high = F.when(first, F.min(POS)).otherwise(F.max(POS)), F.when(first, F.max(POS)).otherwise(F.min(POS))
     none = F.raise_error(F.lit("min and max of no rows"))
     n = F.count(F.lit(1))
     kind = "long" if positions else dict(frame.df.dtypes)[name]
-    return rows.agg(low.alias("min"), high.alias("max"), n.alias("n")).select(*(F.when(F.col("n") == 0, none.cast(kind)).otherwise(F.col(c)).alias(c) for c in ("min", "max")))
+    return kept.agg(low.alias("min"), high.alias("max"), n.alias("n")).select(*(F.when(F.col("n") == 0, none.cast(kind)).otherwise(F.col(c)).alias(c) for c in ("min", "max")))
 
 
 @dataclass(frozen=True)
@@ -125,7 +139,8 @@ def histogram(frame: Frame, n: int, column: str | int = 0, *, compute: str = "co
     agg, nothing = sums[compute]()
     data = rows.groupBy(buckets.place(F.col("_rl_v")).alias("bucket")).agg(agg.alias(names[1]))
     lower = (F.lit(buckets.low) + F.col("bucket") * F.lit(buckets.step)).cast(kind).alias(names[0])
-    return spark.range(n).withColumnRenamed("id", "bucket").join(F.broadcast(data), "bucket", "left").select("bucket", lower, F.coalesce(F.col(names[1]), nothing).alias(names[1]))
+    few = F.broadcast(data) if compute in ("count", "sum") else data  # a number for each bucket; arrays hold whole columns
+    return spark.range(n).withColumnRenamed("id", "bucket").join(few, "bucket", "left").select("bucket", lower, F.coalesce(F.col(names[1]), nothing).alias(names[1]))
 
 
 def categorize(frame: Frame, column: str | int = 0, *, by: Column | None = None, positions: bool = False, stop: Column | None = None, skip: Column | None = None, names: tuple[str, str] = ("Category", "Data")) -> DataFrame:
@@ -148,6 +163,42 @@ def categorize(frame: Frame, column: str | int = 0, *, by: Column | None = None,
     return keyed.groupBy(names[0]).agg(F.min(POS).alias("first"), data.alias(names[1])).select("first", *names)
 
 
+class Skip(Exception):  # noqa: N818
+    """Raised by a categorizer to leave a row out."""
+
+
+class Stop(Exception):  # noqa: N818
+    """Raised by a categorizer to end with the row before."""
+
+
+def categorize_with(frame: Frame, categorizer: Callable[[int, object], object], column: str | int = 0, *, ltype: str = "any", positions: bool = False, names: tuple[str, str] = ("Category", "Data")) -> DataFrame:
+    """``categorize`` by a Python function of a row's position and value, which gives the category.
+
+    It may raise ``Skip`` to leave the row out, or ``Stop`` to end: rows from the first such position on are left
+    out. It runs on the executors in Arrow batches and in no order, so it must not keep state. Where an
+    expression can say the category, ``categorize`` is faster. ``ltype`` is the category's type.
+    """
+    name = frame.name(column)
+    of = T.StructType([T.StructField("category", L.SPARK[ltype]), T.StructField("state", T.IntegerType())])
+
+    @F.pandas_udf(of)
+    def judged(pos: pd.Series, value: pd.Series) -> pd.DataFrame:
+        out = []
+        for p, v in zip(pos.tolist(), value.tolist(), strict=True):
+            try:
+                got = categorizer(p, v)
+                out.append((str(got) if ltype in ("string", "any") else got, 0))
+            except Skip:
+                out.append((None, 1))
+            except Stop:
+                out.append((None, 2))
+        return pd.DataFrame(out, columns=["category", "state"])
+
+    rows = frame.numbered().select(POS, name).withColumn("_rl_j", judged(F.col(POS), F.col(name))).select(POS, name, F.col("_rl_j.category").alias(names[0]), F.col("_rl_j.state").alias("_rl_state"))
+    held = Frame(rows)
+    return categorize(held, name, by=F.col(names[0]), positions=positions, stop=F.col("_rl_state") == 2, skip=F.col("_rl_state") == 1, names=names)
+
+
 def summarize(frame_or_df: Frame | DataFrame, data: str = "Data", *, compute: str | Callable = "count", ltype: str = "wide", name: str = "Summary") -> DataFrame:
     """A table of nested columns with ``name`` in the place of ``data``: the size, the sum, or what a
     function makes of the array (an expression over the array column)."""
@@ -178,8 +229,7 @@ def summarize_by(frame: Frame, label: Column | str, column: str | int, compute:
 
 def distinct(frame: Frame, column: str | int = 0) -> DataFrame:
     """(first, value): each value once, with its lowest position."""
-    name = frame.name(column)
-    return frame.numbered().groupBy(F.col(name).alias("value")).agg(F.min(POS).alias("first")).select("first", "value")
+    return first_rows(frame, frame.df, F.col(frame.name(column)).alias("value")).select(F.col(POS).alias("first"), "value")
 
 
 def ranked_categories(df: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ def _cell(v: object) -> str:
 
 
 def prettify(frame: Frame, *, first: int = 5, last: int = 5, full: bool = False, style: str = "ascii") -> str:
-    """The first and last rows as an aligned table; ``full`` gives all rows. Styles: ascii, plain."""
+    """The first and last rows as an aligned table; ``full`` gives all rows. Styles: ascii, plain, and graphics, which draws a box."""
     n = frame.size()
     if full or n <= first + last:
         rows, gap = frame.rows(), False
@@ -24,6 +24,12 @@ def prettify(frame: Frame, *, first: int = 5, last: int = 5, full: bool = False,
         gap = True
     cells = [frame.names, *([_cell(v) for v in r] for r in rows)]
     widths = [max(len(r[i]) for r in cells) for i in range(frame.width)]
+    if style == "graphics":
+        rule = lambda left, cross, right: left + cross.join("─" * (w + 2) for w in widths) + right
+        boxed = ["│" + "│".join(f" {c.ljust(w)} " for c, w in zip(r, widths, strict=True)) + "│" for r in cells]
+        if gap:
+            boxed.insert(1 + first, "│" + "│".join(f" {'...'[:w].ljust(w)} " for w in widths) + "│")
+        return "\n".join([rule("┌", "┬", "┐"), boxed[0], rule("├", "┼", "┤"), *boxed[1:], rule("└", "┴", "┘")])
     lines = [" | ".join(c.ljust(w) for c, w in zip(r, widths, strict=True)).rstrip() for r in cells]
     if gap:
         lines.insert(1 + first, "...")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -127,6 +128,20 @@ class Rng:
         return _column(self.spark.range(n), c == 1 if self.ltype == "boolean" else c, self.ltype)
 
 
-def random(spark: SparkSession, ltype: str, n: int, low=None, high=None, seed: tuple[int, int] = (42, 54)) -> Frame:
-    """n uniform random values; the upper bound is exclusive."""
-    return Rng(spark, ltype, low, high, seed).get(n)
+_process = {"seeds": (42, 54), "at": 0}
+
+
+def randseed(s1: int | None = None, s2: int = 54) -> None:
+    """Starts this process's stream of random values anew; without seeds, from the system's own randomness."""
+    if s1 is None:
+        s1, s2 = (int.from_bytes(os.urandom(8), "little", signed=True) for _ in range(2))
+    _process.update(seeds=(s1, s2), at=0)
+
+
+def random(spark: SparkSession, ltype: str, n: int, low=None, high=None, seed: tuple[int, int] | None = None) -> Frame:
+    """n uniform random values; the upper bound is exclusive. Without ``seed``, the next of this process's stream (``randseed``)."""
+    rng = Rng(spark, ltype, low, high, seed or _process["seeds"])
+    if seed is None:
+        rng.at = _process["at"]
+        _process["at"] += n
+    return rng.get(n)

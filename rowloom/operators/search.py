@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import BadValue, TypeMismatch
 from ..functions import types as L
 from ..functions.predicates import predicate
-from ..plans.frame import POS, Frame, bounds, indices, number
+from ..plans.frame import POS, Frame, bounds, indices, number, ranks
 
 
 def matches(frame: Frame, value: object, column: str | int = 0, oper: str = "eq", nocase: bool = False, negate: bool = False) -> Column:
@@ -44,6 +44,8 @@ def search(frame: Frame, value: object, column: str | int = 0, oper: str = "eq",
     hit = matches(frame, value, name, oper, nocase, negate)
     if inline and all and span is None and among is None:
         return frame.df.where(hit).select(*dict.fromkeys([*frame.order, name])) if frame.order != (POS,) else frame.df.where(hit).select(POS, name)
+    if not (all or bitmap) and span is None and among is None:
+        return _first(frame, hit, name if inline else None)
     rows = frame.numbered()
     if bitmap:
         inside = _ranged(frame, rows, span).select(POS, hit.alias("found"))
@@ -63,6 +65,18 @@ def search(frame: Frame, value: object, column: str | int = 0, oper: str = "eq",
     return found.agg(first.alias(name)) if inline else found.agg(F.coalesce(first, F.lit(-1)).cast("long").alias("found"))
 
 
+def _first(frame: Frame, hit: Column, inline: str | None) -> DataFrame:
+    """The first hit's value, or its position: the number of rows before it in the frame's order. Nothing is sorted."""
+    order = F.struct(*(F.col(o) for o in frame.order))
+    if inline:
+        return frame.df.where(hit).agg(F.min_by(inline, order).alias(inline))
+    if frame.order == (POS,):
+        return frame.df.where(hit).agg(F.coalesce(F.min(POS), F.lit(-1)).cast("long").alias("found"))
+    least = frame.df.where(hit).agg(F.min(order).alias("least")).scalar()
+    rows = frame.df.select((order < least).alias("before"))
+    return rows.agg(F.count_if("before").alias("n"), F.count("before").alias("known")).select(F.when(F.col("known") > 0, F.col("n")).otherwise(-1).cast("long").alias("found"))
+
+
 def count(frame: Frame, value: object, column: str | int = 0, oper: str = "eq", *, negate: bool = False, nocase: bool = False, span: Sequence | None = None, among=None) -> DataFrame:
     """(n): how many rows match; a position given twice in ``among`` counts twice."""
     hit = matches(frame, value, column, oper, nocase, negate)
@@ -86,10 +100,19 @@ def lookup(frame: Frame, keys: Sequence[str] | DataFrame, column: str | int = 0)
     if frame.type(name) not in ("string", "any"):
         raise TypeMismatch("lookup is for text columns")
     asked = keys if isinstance(keys, DataFrame) else frame.df.sparkSession.createDataFrame([(k,) for k in keys], "key string")
-    where = frame.numbered().join(asked.select(F.col("key").alias(name)).distinct(), name, "left_semi").groupBy(F.col(name).alias("key")).agg(F.min(POS).alias("found"))
+    own = frame.df.join(asked.select(F.col("key").alias(name)).distinct(), name, "left_semi")
+    where = first_rows(frame, own, F.col(name).alias("key")).select("key", F.col(POS).alias("found"))
     return asked.join(where, "key", "left").select("key", F.coalesce("found", F.lit(-1)).cast("long").alias("found"))
 
 
+def first_rows(frame: Frame, rows: DataFrame, by: Column) -> DataFrame:
+    """The groups of some of the frame's rows, with ``pos``, the position in the frame of the first row of each."""
+    if frame.order == (POS,):
+        return rows.groupBy(by).agg(F.min(POS).alias(POS))
+    firsts = rows.groupBy(by).agg(F.min(F.struct(*(F.col(o) for o in frame.order))).alias("at"))
+    return ranks(frame, firsts).drop("at")
+
+
 def select(frame: Frame, condition: Column) -> Frame:
     """The rows that a condition selects, in order."""
     rows = frame.df.where(condition)

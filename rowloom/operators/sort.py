@@ -38,14 +38,14 @@ def sort_positions(frame: Frame, column: str | int = 0, *, decreasing: bool = Fa
     return number(rows, [key.desc() if decreasing else key.asc(), F.col("value")]).select(POS, "value")
 
 
-def sort_indirect(frame: Frame, given, keys: Sequence[str | int], *, decreasing: bool = False) -> DataFrame:
+def sort_indirect(frame: Frame, given, keys: Sequence[str | int], *, decreasing: bool = False, nocase: bool = False) -> DataFrame:
     """(pos, value): the given positions sorted by the frame's values at them; ties keep the given order.
 
     Several keys stand for as many passes, the last the strongest; one sort does them all.
     """
     at = indices(frame, given)
     rows = frame.numbered().join(at, F.col(POS) == F.col("at"))
-    order = [F.col(frame.name(k)).desc() if decreasing else F.col(frame.name(k)).asc() for k in reversed(keys)]
+    order = [c.desc() if decreasing else c.asc() for k in reversed(keys) for c in [F.lower(frame.name(k)) if nocase and frame.type(k) in ("string", "any") else F.col(frame.name(k))]]
     names = list(dict.fromkeys(frame.name(k) for k in keys))
     return number(rows.select("ord", F.col("at").alias("value"), *names), [*order, F.col("ord")]).select(POS, "value")
 
@@ -97,3 +97,20 @@ def top_k(frame: Frame, k: int, column: str | int = 0, decreasing: bool = True)
     return Frame(number(few, [first, *own], distributed=False).drop("_rl_old"))
 
 
+
+
+def as_list(frame: Frame) -> list:
+    """All rows in order, on the driver: values for one column, else lists of values."""
+    return [r[0] for r in frame.rows()] if frame.width == 1 else [list(r) for r in frame.rows()]
+
+
+def as_dict(frame: Frame, at: Frame | DataFrame | None = None) -> dict[int, object]:
+    """What ``as_list`` gives, on the driver, by position in the frame.
+
+    With ``at`` (positions as ``sort_positions``, ``search`` and ``Frame`` give them) only those rows, in their order.
+    """
+    if at is None:
+        return dict(enumerate(as_list(frame)))
+    wanted = at.numbered().select(POS, F.col(at.names[0]).alias("_rl_w")) if isinstance(at, Frame) else at.select(F.col(POS if POS in at.columns and "value" in at.columns else at.columns[0]), F.col(at.columns[-1]).alias("_rl_w")).toDF(POS, "_rl_w")
+    rows = wanted.join(frame.numbered().select(F.col(POS).alias("_rl_w"), *frame.names), "_rl_w").orderBy(POS).select("_rl_w", *frame.names).collect()
+    return {r[0]: r[1] if frame.width == 1 else list(r[1:]) for r in rows}

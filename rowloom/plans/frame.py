@@ -14,8 +14,11 @@ from ..functions import types as L
 from .scratch import stored
 
 POS = "pos"
-#: Frames that Catalyst estimates below this are numbered by one window; larger ones by counts of sorted partitions.
-ONE_WINDOW_BYTES = 64 << 20
+#: Frames of at most so many rows (counted, and estimated below so many bytes) are numbered by one window; larger ones by
+#: counts of sorted partitions.
+ONE_WINDOW_ROWS, ONE_WINDOW_BYTES = 100_000, 8 << 20
+#: Rows whose positions are found by counting what comes before each, in one pass and without a sort.
+FEW_ROWS = 1000
 _NAME = re.compile(r"[^\W\d][-\w]*\Z")
 _AT = "_rl_at"
 
@@ -23,13 +26,13 @@ _AT = "_rl_at"
 def number(df: DataFrame, keys: Sequence[Column | str], name: str = POS, distributed: bool | None = None) -> DataFrame:
     """``df`` with 0-based positions by ``keys``, which should be unique.
 
-    A large frame is sorted over all executors and written to the shared folder with each row's
+    A frame counted to be small gets them from one window. Any other is sorted over all executors and written to the shared folder with each row's
     partition and place in it; the driver gets one count per partition, and a position is the
     partition's offset and the place. No task sees more than its partition.
     """
     keys = [F.col(k) if isinstance(k, str) else k for k in keys]
     if distributed is None:
-        distributed = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > ONE_WINDOW_BYTES
+        distributed = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > ONE_WINDOW_BYTES or df.select(F.lit(1)).limit(ONE_WINDOW_ROWS + 1).count() > ONE_WINDOW_ROWS
     if not distributed:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*keys)).cast("long") - 1)
     held = stored(df.orderBy(*keys).withColumn(_AT, F.monotonically_increasing_id()), "ordered")
@@ -43,6 +46,27 @@ def number(df: DataFrame, keys: Sequence[Column | str], name: str = POS, distrib
     return held.withColumn(name, start + F.col(_AT).bitwiseAND(F.lit((1 << 33) - 1))).drop(_AT)
 
 
+def ranks(frame: Frame, firsts: DataFrame) -> DataFrame:
+    """``firsts`` with ``pos``: the positions in the frame of rows given by ``at``, the struct of their order columns.
+
+    Up to ``FEW_ROWS`` of them are sent to the scan as one sorted array, which counts how many rows stand
+    before each: one pass without a sort. For more, the whole frame is numbered.
+    """
+    order = F.struct(*(F.col(o) for o in frame.order))
+    if firsts.limit(FEW_ROWS + 1).count() > FEW_ROWS:
+        rows = frame.numbered().select(order.alias("at"), F.col(POS))
+        return firsts.join(rows, "at")
+    sorted_firsts = firsts.select(F.sort_array(F.collect_set("at")).alias("all")).scalar()
+    reached = F.size(F.filter(sorted_firsts, lambda x: x <= order))  # of the firsts, those not after the row
+    by_place = frame.df.groupBy(reached.alias("reached")).agg(F.count(F.lit(1)).alias("n"))  # a row for each first at most
+    before = F.sum("n").over(Window.partitionBy("i").orderBy("reached"))
+    # rows that reach i firsts or fewer stand before first number i
+    places = by_place.withColumn("i", F.lit(0)).select(F.col("reached").alias("place"), before.alias("before"))
+    numbered = firsts.withColumn("place", F.size(F.filter(sorted_firsts, lambda x: x < F.col("at"))))
+    # a first is itself the row that reaches one more, so every place but the first has rows before it
+    return numbered.join(F.broadcast(places), "place", "left").select(*firsts.columns, F.coalesce("before", F.lit(0)).alias(POS))
+
+
 class Frame:
     """A table whose rows have the order of ``order``; the result of an operation that numbers rows is in order of ``pos``."""
 

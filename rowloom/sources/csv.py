@@ -79,16 +79,19 @@ def csv_import(spark: SparkSession, path: str, *, sniff: bool = False, encoding:
     return Frame(rows.select(POS, *names))
 
 
-def csv_export(frame: Frame, path: str, *, header: list[str] | None = None, mode: str = "errorifexists", encoding: str = "UTF-8", separator: str = ",", quote: str = '"', single_file: bool = True) -> None:
-    """The rows in order as CSV; an existing path is an error unless ``mode`` is overwrite or append.
+def csv_export(frame: Frame, path: str, *, header: list[str] | None = None, mode: str = "errorifexists", encoding: str = "UTF-8", separator: str = ",", quote: str = '"', single_file: bool = True, translation: str = "lf") -> None:
+    """The rows in order as CSV, lines ending as ``translation`` says (lf, crlf or cr); an existing path is an error unless ``mode`` is overwrite or append.
 
     ``header`` gives the titles of a header line (none by default). With ``single_file`` False the
     rows are range-partitioned and the files, by name, hold them in order.
     """
     if header is not None and len(header) != frame.width:
         raise BadName(f"{len(header)} titles for {frame.width} columns")
+    ends = {"lf": "\n", "crlf": "\r\n", "cr": "\r"}
+    if translation not in ends:
+        raise BadValue(f"lines can't end in {translation}")
     keys = [F.col(o) for o in frame.order]
     rows = frame.df.orderBy(*keys)
     shown = rows.select(*(L.as_text(F.col(n), frame.type(n)).alias(h) for n, h in zip(frame.names, header or frame.names, strict=True)))
     out = shown.coalesce(1) if single_file else shown
-    out.write.mode(mode).option("header", header is not None).option("sep", separator).option("quote", quote).option("escape", quote).option("encoding", encoding).option("emptyValue", "").csv(path)
+    out.write.mode(mode).option("header", header is not None).option("sep", separator).option("quote", quote).option("escape", quote).option("encoding", encoding).option("emptyValue", "").option("lineSep", ends[translation]).csv(path)
