@@ -45,9 +45,13 @@ def sort_indirect(frame: Frame, given, keys: Sequence[str | int], *, decreasing:
     """
     at = indices(frame, given)
     rows = frame.numbered().join(at, F.col(POS) == F.col("at"))
-    order = [c.desc() if decreasing else c.asc() for k in reversed(keys) for c in [F.lower(frame.name(k)) if nocase and frame.type(k) in ("string", "any") else F.col(frame.name(k))]]
-    names = list(dict.fromkeys(frame.name(k) for k in keys))
-    return number(rows.select("ord", F.col("at").alias("value"), *names), [*order, F.col("ord")]).select(POS, "value")
+    keyed = []
+    for k in reversed(keys):
+        name = frame.name(k)
+        keyed.append(F.lower(name) if nocase and frame.type(name) in ("string", "any") else F.col(name))
+    rows = rows.select("ord", F.col("at").alias("value"), *(c.alias(f"_rl_{i}") for i, c in enumerate(keyed)))
+    order = [F.col(f"_rl_{i}").desc() if decreasing else F.col(f"_rl_{i}").asc() for i in range(len(keyed))]
+    return number(rows, [*order, F.col("ord")]).select(POS, "value")
 
 
 def reverse(frame: Frame) -> Frame:
@@ -111,6 +115,9 @@ def as_dict(frame: Frame, at: Frame | DataFrame | None = None) -> dict[int, obje
     """
     if at is None:
         return dict(enumerate(as_list(frame)))
-    wanted = at.numbered().select(POS, F.col(at.names[0]).alias("_rl_w")) if isinstance(at, Frame) else at.select(F.col(POS if POS in at.columns and "value" in at.columns else at.columns[0]), F.col(at.columns[-1]).alias("_rl_w")).toDF(POS, "_rl_w")
-    rows = wanted.join(frame.numbered().select(F.col(POS).alias("_rl_w"), *frame.names), "_rl_w").orderBy(POS).select("_rl_w", *frame.names).collect()
+    if isinstance(at, Frame):
+        wanted = at.numbered().select(F.col(POS).alias("_rl_o"), F.col(at.names[0]).alias("_rl_w"))
+    else:  # (pos, value), (ord, pos) or (pos)
+        wanted = at.select(F.col(at.columns[0]).alias("_rl_o"), F.col(at.columns[-1]).alias("_rl_w"))
+    rows = wanted.join(frame.numbered().select(F.col(POS).alias("_rl_w"), *frame.names), "_rl_w").orderBy("_rl_o").select("_rl_w", *frame.names).collect()
     return {r[0]: r[1] if frame.width == 1 else list(r[1:]) for r in rows}

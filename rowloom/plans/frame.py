@@ -57,14 +57,14 @@ def ranks(frame: Frame, firsts: DataFrame) -> DataFrame:
         rows = frame.numbered().select(order.alias("at"), F.col(POS))
         return firsts.join(rows, "at")
     sorted_firsts = firsts.select(F.sort_array(F.collect_set("at")).alias("all")).scalar()
-    reached = F.size(F.filter(sorted_firsts, lambda x: x <= order))  # of the firsts, those not after the row
-    by_place = frame.df.groupBy(reached.alias("reached")).agg(F.count(F.lit(1)).alias("n"))  # a row for each first at most
-    before = F.sum("n").over(Window.partitionBy("i").orderBy("reached"))
-    # rows that reach i firsts or fewer stand before first number i
-    places = by_place.withColumn("i", F.lit(0)).select(F.col("reached").alias("place"), before.alias("before"))
-    numbered = firsts.withColumn("place", F.size(F.filter(sorted_firsts, lambda x: x < F.col("at"))))
-    # a first is itself the row that reaches one more, so every place but the first has rows before it
-    return numbered.join(F.broadcast(places), "place", "left").select(*firsts.columns, F.coalesce("before", F.lit(0)).alias(POS))
+    rows = frame.df.select(order.alias("_rl_own"), sorted_firsts.alias("_rl_all"))
+    reached = F.size(F.filter("_rl_all", lambda x: x <= F.col("_rl_own")))  # of the firsts, those not after the row
+    by_place = rows.groupBy(reached.alias("place")).agg(F.count(F.lit(1)).alias("n"))  # a row for each first at most
+    # the rows that reach i firsts or fewer are those before first number i
+    before = by_place.select("place", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("place")).alias("before"))
+    numbered = firsts.withColumn("_rl_all", sorted_firsts).withColumn("place", F.size(F.filter("_rl_all", lambda x: x < F.col("at"))))
+    # only the very first row of the frame has none before it; every other first follows one that reaches its number
+    return numbered.join(F.broadcast(before), "place", "left").select(*firsts.columns, F.coalesce("before", F.lit(0)).alias(POS))
 
 
 class Frame:

@@ -12,6 +12,7 @@ from .functions import types as L
 from .functions.math import math
 from .operators import aggregate, generate, mutate, search, sort, vector
 from .operators import join as joins
+from .operators.workspace import Workspace
 from .plans.frame import POS, Frame
 from .plans.selector import condition, select_expr, table_filter
 from .sources.tables import table
@@ -69,24 +70,24 @@ def search_eq_nocase(spark, d):
     return search.search(table(spark, d, "customer"), "building", "c_mktsegment", nocase=True, all=True, inline=True)
 
 
-@query("SELECT p_partkey, p_type FROM part WHERE p_type GLOB '*[SB]*E?*'")
+@query("SELECT p_partkey, p_type FROM part WHERE p_type GLOB '*[ST]*[A-N]*'")
 def search_glob(spark, d):
-    return search.search(table(spark, d, "part"), "*[SB]*E?*", "p_type", "pat", all=True, inline=True)
+    return search.search(table(spark, d, "part"), "*[ST]*[A-N]*", "p_type", "pat", all=True, inline=True)
 
 
-@query("SELECT p_partkey, p_type FROM part WHERE lower(p_type) GLOB '*steel*'")
+@query("SELECT p_partkey, p_type FROM part WHERE lower(p_type) GLOB '*st?nd*d'")
 def search_glob_nocase(spark, d):
-    return search.search(table(spark, d, "part"), "*sTeEl*", "p_type", "pat", nocase=True, all=True, inline=True)
+    return search.search(table(spark, d, "part"), "*sT?nD*d", "p_type", "pat", nocase=True, all=True, inline=True)
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '[aeiou]{1}.*[0-9]+')")
+@query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^[a-m]+ .*[aeiou]{1}[ln]')")
 def search_regex(spark, d):
-    return search.search(table(spark, d, "part"), "[aeiou]{1}.*[0-9]+", "p_name", "re", all=True, inline=True)
+    return search.search(table(spark, d, "part"), "^[a-m]+ .*[aeiou]{1}[ln]", "p_name", "re", all=True, inline=True)
 
 
-@query("SELECT count(*) AS n FROM part WHERE NOT regexp_matches(p_name, '1')")
+@query("SELECT count(*) AS n FROM part WHERE NOT regexp_matches(p_name, 'r.*i')")
 def search_not_regex(spark, d):
-    return search.count(table(spark, d, "part"), "1", "p_name", "re", negate=True)
+    return search.count(table(spark, d, "part"), "r.*i", "p_name", "re", negate=True)
 
 
 @query(f"SELECT coalesce(min(pos), -1)::BIGINT AS found FROM {_pos('orders', 'o_orderkey')} WHERE o_totalprice > 400000")
@@ -129,6 +130,12 @@ def count_matches(spark, d):
     return search.count(table(spark, d, "lineitem"), 0.05, "l_discount", "gt")
 
 
+@query(f"SELECT pos FROM {_pos('events', 'event_id')} WHERE NOT (value > 50)")
+def search_boolean(spark, d):
+    events = table(spark, d, "events")
+    return search.search(Frame(events.df.withColumn("big", F.col("value") > 50), events.order), False, "big", all=True).select(POS)
+
+
 @query("SELECT count(*) AS n FROM events WHERE value > 50")
 def count_bits(spark, d):
     events = table(spark, d, "events")
@@ -173,7 +180,7 @@ def replace_column(spark, d):
 @query("SELECT count(*) AS n, 5::INTEGER AS width FROM customer")
 def table_size(spark, d):
     customer = table(spark, d, "customer")
-    return customer.df.agg(F.count(F.lit(1)).alias("n"), F.lit(customer.width).alias("width"))
+    return spark.createDataFrame([(customer.size(), customer.width)], "n long, width int")
 
 
 @query(f"SELECT pos, n_name, n_nationkey FROM {_pos('nation', 'n_nationkey')}")
@@ -205,6 +212,11 @@ def sort_indices(spark, d):
     return sort.sort_positions(table(spark, d, "part"), "p_retailprice")
 
 
+@query(f"SELECT row_number() OVER (ORDER BY lower(c_mktsegment), pos) - 1 AS pos, pos AS value FROM {_pos('customer', 'c_custkey')} WHERE c_nationkey < 9")
+def sort_indirect_nocase(spark, d):
+    return sort.sort_indirect(table(spark, d, "customer"), F.col("c_nationkey") < 9, ["c_mktsegment"], nocase=True)
+
+
 @query(f"SELECT row_number() OVER (ORDER BY p_brand, p_size, pos) - 1 AS pos, pos AS value FROM {_pos('part', 'p_partkey')} WHERE p_size > 20")
 def sort_indirect_multikey(spark, d):
     part = table(spark, d, "part")
@@ -276,9 +288,19 @@ def intersect3_a_only(spark, d):
     return joins.intersect3(table(spark, d, "customer"), table(spark, d, "supplier"), "c_nationkey", "s_nationkey")[1]
 
 
-@query("SELECT s_nationkey AS value FROM supplier EXCEPT ALL SELECT c_nationkey FROM customer")
+@query("SELECT o_custkey % 11 AS value FROM orders EXCEPT ALL SELECT c_nationkey FROM customer")
 def intersect3_b_only(spark, d):
-    return joins.intersect3(table(spark, d, "customer"), table(spark, d, "supplier"), "c_nationkey", "s_nationkey")[2]
+    orders = table(spark, d, "orders")
+    folded = Frame(orders.df.withColumn("o_custkey", (F.col("o_custkey") % 11).cast("int")), orders.order)
+    return joins.intersect3(table(spark, d, "customer"), folded, "c_nationkey", "o_custkey")[2]
+
+
+@query("SELECT 'both' AS side, value, count(*) AS n FROM (SELECT value > 50 AS value FROM events INTERSECT ALL SELECT o_totalprice > 250000 FROM orders) GROUP BY ALL UNION ALL SELECT 'a', value, count(*) FROM (SELECT value > 50 AS value FROM events EXCEPT ALL SELECT o_totalprice > 250000 FROM orders) GROUP BY ALL UNION ALL SELECT 'b', value, count(*) FROM (SELECT o_totalprice > 250000 AS value FROM orders EXCEPT ALL SELECT value > 50 FROM events) GROUP BY ALL")
+def intersect3_boolean(spark, d):
+    events, orders = table(spark, d, "events"), table(spark, d, "orders")
+    parts = joins.intersect3(Frame(events.df.withColumn("big", F.col("value") > 50), events.order), Frame(orders.df.withColumn("dear", F.col("o_totalprice") > 250000), orders.order), "big", "dear")
+    out = [p.groupBy("value").agg(F.count(F.lit(1)).alias("n")).select(F.lit(side).alias("side"), "value", "n") for side, p in zip(("both", "a", "b"), parts, strict=True)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("SELECT lower(c_mktsegment) AS value FROM customer INTERSECT ALL SELECT lower(c_mktsegment) FROM customer WHERE c_acctbal > 0")
@@ -288,16 +310,32 @@ def intersect3_nocase(spark, d):
     return joins.intersect3(customer, other, "c_mktsegment", "c_mktsegment", nocase=True)[0].select(F.lower("value").alias("value"))
 
 
-@query("SELECT TRUE AS equal")
+def _same(a: str, b: str) -> str:
+    """SQL for whether two ordered selections hold the same rows in the same places."""
+    return f"SELECT (SELECT count(*) FROM ({a}) a FULL JOIN ({b}) b ON a = b WHERE a.pos IS NULL OR b.pos IS NULL) = 0 AS equal"
+
+
+_ORDERS = "SELECT row_number() OVER (ORDER BY {0}) - 1 AS pos, o_orderkey, {1} AS o_custkey FROM orders"
+
+
+@query(_same(_ORDERS.format("o_orderkey", "o_custkey"), _ORDERS.format("-(-o_orderkey)", "o_custkey + 0")) + " UNION ALL " + _same(_ORDERS.format("o_orderkey", "o_custkey"), _ORDERS.format("o_orderkey", "CASE WHEN o_orderkey = 77 THEN -1 ELSE o_custkey END")))
 def table_equal(spark, d):
-    nation = table(spark, d, "nation")
-    return search.equality(nation, sort.reverse(sort.reverse(nation)))
+    orders = table(spark, d, "orders").slice(["o_orderkey", "o_custkey"])
+    changed = Frame(orders.df.withColumn("o_custkey", F.when(F.col("o_orderkey") == 77, -1).otherwise(F.col("o_custkey"))), orders.order)
+    return search.equality(orders, sort.reverse(sort.reverse(orders))).unionByName(search.equality(orders, changed))
 
 
-@query("SELECT FALSE AS equal")
+@query("SELECT typeof(any_value(n_nationkey)) = typeof(any_value(n_nationkey::TINYINT)) AS equal FROM nation UNION ALL " + _same(_pos("nation", "n_nationkey")[1:-1], _pos("nation", "n_nationkey")[1:-1]))
 def table_identical(spark, d):
     nation = table(spark, d, "nation")
-    return search.equality(nation, vector.cast(nation, "n_nationkey", "wide"), strict=True)
+    return search.equality(nation, vector.cast(nation, "n_nationkey", "byte"), strict=True).unionByName(search.equality(nation, nation, strict=True))
+
+
+@query(_same(_pos("(SELECT c_nationkey AS v, c_custkey FROM customer)", "c_custkey", "v")[1:-1], _pos("(SELECT c_nationkey + 0 AS v, c_custkey FROM customer)", "c_custkey", "v")[1:-1]) + " UNION ALL " + _same(_pos("(SELECT c_nationkey AS v, c_custkey FROM customer)", "c_custkey", "v")[1:-1], _pos("(SELECT c_nationkey AS v, c_custkey FROM customer)", "-c_custkey", "v")[1:-1]))
+def column_equal(spark, d):
+    customer = table(spark, d, "customer")
+    keys = customer.slice(["c_nationkey"])
+    return search.equality(keys, vector.cast(keys, 0, "wide")).unionByName(search.equality(keys, sort.reverse(keys)))
 
 
 # ---- aggregation --------------------------------------------------------------------------------
@@ -358,15 +396,35 @@ def hist_positions(spark, d):
     return got.select("bucket", F.size("Data").cast("long").alias("n"), F.coalesce(F.get("Data", F.lit(0)), F.lit(-1)).cast("long").alias("first"))
 
 
+@query("SELECT k.range AS bucket, count(p_size) AS n, coalesce(sum(p_size), 0)::BIGINT AS total, coalesce(arg_min(p_size, p_partkey), -1)::BIGINT AS first FROM range(5) k LEFT JOIN part ON least(4, (p_size - 1) // 10) = k.range AND p_size BETWEEN 1 AND 50 GROUP BY ALL")
+def hist_values(spark, d):
+    got = aggregate.histogram(table(spark, d, "part"), 5, "p_size", compute="values", low=1, high=50)
+    total = F.aggregate("Data", F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
+    return got.select("bucket", F.size("Data").cast("long").alias("n"), total.alias("total"), F.coalesce(F.get("Data", F.lit(0)), F.lit(-1)).cast("long").alias("first"))
+
+
+@query(f"SELECT min(pos) AS first, CASE WHEN o_totalprice > 250000 THEN 'dear' ELSE 'cheap' END AS \"Category\", count(*) AS n FROM {_pos('orders', 'o_orderkey')} WHERE o_totalprice >= 50000 AND pos < 700 GROUP BY 2")
+def categorize_function(spark, d):
+    def price(pos, value):
+        if pos >= 700:
+            raise aggregate.Stop
+        if value < 50000:
+            raise aggregate.Skip
+        return "dear" if value > 250000 else "cheap"
+
+    got = aggregate.categorize_with(table(spark, d, "orders"), price, "o_totalprice", ltype="string")
+    return got.select("first", "Category", F.size("Data").cast("long").alias("n"))
+
+
 @query(f"SELECT min(pos) AS first, o_orderpriority AS \"Category\", count(*) AS n FROM {_pos('orders', 'o_orderkey')} GROUP BY o_orderpriority")
 def categorize_values(spark, d):
     got = aggregate.categorize(table(spark, d, "orders"), "o_orderpriority")
     return got.select("first", "Category", F.size("Data").cast("long").alias("n"))
 
 
-@query(f"SELECT min(pos) AS first, o_orderkey % 7 AS \"Category\", count(*) AS n, max(pos) AS last FROM {_pos('orders', 'o_orderkey')} WHERE pos < (SELECT min(pos) FROM {_pos('orders', 'o_orderkey')} WHERE o_totalprice > 300000) AND o_orderstatus <> 'P' GROUP BY 2")
+@query(f"SELECT min(pos) AS first, o_orderkey % 7 AS \"Category\", count(*) AS n, max(pos) AS last FROM {_pos('orders', 'o_orderkey')} WHERE pos < (SELECT min(pos) FROM {_pos('orders', 'o_orderkey')} WHERE o_totalprice > 499000) AND o_orderstatus <> 'P' GROUP BY 2")
 def categorize_udf_expr(spark, d):
-    got = aggregate.categorize(table(spark, d, "orders"), "o_orderkey", by=F.col("o_orderkey") % 7, positions=True, stop=F.col("o_totalprice") > 300000, skip=F.col("o_orderstatus") == "P")
+    got = aggregate.categorize(table(spark, d, "orders"), "o_orderkey", by=F.col("o_orderkey") % 7, positions=True, stop=F.col("o_totalprice") > 499000, skip=F.col("o_orderstatus") == "P")
     return got.select("first", "Category", F.size("Data").cast("long").alias("n"), F.array_max("Data").alias("last"))
 
 
@@ -544,6 +602,21 @@ def ones(spark, d):
     return generate.ones(spark, 40).df
 
 
+@query("SELECT range AS pos, 0::DOUBLE AS value FROM range(7)")
+def zeroes(spark, d):
+    return generate.zeroes(spark, 7, "double").df
+
+
+@query("SELECT range AS pos, range NOT IN (0, 4) AS value FROM range(6)")
+def bitmap1(spark, d):
+    return generate.bitmap1(spark, 6, [4, 0]).df
+
+
+@query("SELECT range AS pos, trunc(range * 2.5)::INTEGER AS value FROM range(8)")
+def linspace_open(spark, d):
+    return generate.linspace(spark, 0, 20, 8, ltype="int", open=True).df
+
+
 @query(None)
 def random_values(spark, d):
     return generate.random(spark, "int", 1000, -50, 50, (1, 2)).df
@@ -577,3 +650,34 @@ def column_width(spark, d):
     return text_width(table(spark, d, "part"), "p_name")
 
 
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def csv_round_trip(spark, d):
+    from .plans.scratch import scratch_path
+    from .sources.csv import csv_export, csv_import
+
+    path = scratch_path(spark, "csv")
+    csv_export(table(spark, d, "supplier").slice(["s_suppkey", "s_name", "s_acctbal"]), path, header=["s_suppkey", "s_name", "s_acctbal"])
+    return csv_import(spark, path, header=True).values
+
+
+@query(f"SELECT pos, o_orderkey, CASE WHEN o_totalprice < 20000 THEN o_totalprice + 1000 ELSE o_totalprice END AS o_totalprice FROM {_pos('orders', 'o_orderkey')} WHERE pos < 400")
+def statement_assignment(spark, d):
+    work = Workspace(spark, Orders=table(spark, d, "orders").slice(["o_orderkey", "o_totalprice"]))
+    work.run("Orders = Orders[0:399]")
+    return work.run("Orders.o_totalprice[Orders.o_totalprice < 20000] = Orders.o_totalprice[Orders.o_totalprice < 20000] + 1000").df
+
+
+@query(f"SELECT (SELECT count(*) FROM supplier) AS size, (SELECT min(pos) FROM {_pos('supplier', 's_suppkey')} WHERE s_name = 'Supplier#000000007') AS key, (SELECT sum(s_nationkey)::BIGINT FROM supplier) AS total, (SELECT min(pos) FROM {_pos('supplier', 's_suppkey')} WHERE s_acctbal > 5000) AS hit")
+def statement_values(spark, d):
+    work = Workspace(spark, S=table(spark, d, "supplier"))
+    values = [work.run(x) for x in ("%S", "S.s_name.'Supplier#000000007'", "@sum(S.s_nationkey)", "@search S.s_acctbal > 5000")]
+    return spark.createDataFrame([tuple(values)], "size long, key long, total long, hit long")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY s_acctbal DESC, pos) - 1 AS pos, s_acctbal FROM {_pos('supplier', 's_suppkey')} WHERE NOT (s_nationkey < 10)")
+def statement_sort(spark, d):
+    work = Workspace(spark, S=table(spark, d, "supplier"))
+    work.run("S = @delete(S, S.s_nationkey < 10)")
+    return work.run("@sort S.s_acctbal decreasing").df
