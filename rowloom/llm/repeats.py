@@ -316,8 +316,9 @@ def _windows(kind: type[Batch], first_stays: bool):
 
 
 def repeated_ranges(docs: DataFrame, kind: type[Batch], first_stays: bool) -> tuple[DataFrame, DataFrame]:
-    """(keyed texts, ranges): ranges (k, th, lo, hi) of window starts whose content also starts elsewhere
-    (with ``first_stays``: earlier, by doc_id and start)."""
+    """(keyed texts, ranges): by (k, th) an array of (lo, hi), the window starts whose content also starts elsewhere
+    (with ``first_stays``: earlier, by doc_id and start). Documents with a seed that stands elsewhere too have a row
+    even if no whole window of theirs does; their array is empty."""
     keyed = keyed_text(docs).withColumn("th", F.col("th").bitwiseAND(F.lit(0xFFFFFFFF)))
     order = ["key", "h", "k", "pos"]
     one = keyed.select("k", "th", "text").mapInArrow(_emit(kind, first_stays), _ROW)
@@ -325,8 +326,8 @@ def repeated_ranges(docs: DataFrame, kind: type[Batch], first_stays: bool) -> tu
     contested = told.where(F.col("state") == CONTESTED).groupBy("k", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     texts = keyed.join(contested, ["k", "th"]).select("k", "th", "text", "ranges")
     two = texts.mapInArrow(_windows(kind, first_stays), _ROW).repartition("key").sortWithinPartitions(*order).mapInArrow(_settle(first_stays, False), _RANGE)
-    settled = told.where(F.col("state") == SETTLED).unionByName(two.where(F.col("state") == SETTLED))
-    return keyed, settled.groupBy("k", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    found = told.unionByName(two)
+    return keyed, found.groupBy("k", "th").agg(F.collect_list(F.when(F.col("state") == SETTLED, F.struct("lo", "hi"))).alias("ranges"))
 
 
 def covered(n: int, ranges: list[dict] | None, window: int) -> np.ndarray:

@@ -1,4 +1,4 @@
-"""Substring dedup over words (seed and extend) and over bytes (prefix-free parsing)."""
+"""Substring dedup over words (the first occurrence stays) and over bytes (none stays)."""
 
 from __future__ import annotations
 
@@ -50,10 +50,11 @@ def drop_repeated_words(docs: DataFrame, digest: bool = False) -> DataFrame:
 
 def _kept_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n, gone, runs, kept, sha = [], [], [], [], []
+        n, gone, runs, seeds, kept, sha = [], [], [], [], [], []
         for text, ranges in zip(b.column(1), b.column(2), strict=True):
             raw = (text.as_py() or "").encode("utf-8", "replace")
             n.append(len(raw))
+            seeds.append(int(ranges.is_valid))
             if ranges.is_valid:
                 cut = covered(len(raw), ranges.as_py(), Bytes.window)
                 gone.append(int(cut.sum()))
@@ -64,30 +65,30 @@ def _kept_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 runs.append(0)
             kept.append(raw)
             sha.append(hashlib.sha256(raw).hexdigest())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(seeds, pa.int64()), pa.array(kept, pa.binary())], ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "shares_seed", "kept"])
 
 
 def _without_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in _kept_bytes(batches):
-        yield pa.RecordBatch.from_arrays(b.columns[:5], b.schema.names[:5])
+        yield pa.RecordBatch.from_arrays(b.columns[:6], b.schema.names[:6])
 
 
 def drop_repeated_bytes(docs: DataFrame, digest: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, without ``digest``, the kept bytes.
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, shares_seed and, without ``digest``, the kept bytes.
 
     A byte goes if a 400-byte string of its document covers it that also starts anywhere else, in
     any document or the same one; overlaps count and all occurrences go. Matches never cross
     documents and are judged on the input. Kept bytes may split a character, hence binary.
 
-    Phrases end at rolling-hash triggers; the dictionary of distinct phrases, each with the bytes
-    that its windows reach, is compared by hash and multiplicity (the parse), and only phrases that
-    share a seed but differ are compared window by window.
+    The method is that of ``repeats``, by hash: it needs the equality of 400-byte strings, not the order that
+    suffix arrays give. ``shares_seed`` is 1 where a seed, the 273 bytes from an anchor of the document on, stands
+    elsewhere too: it tells of repeats that are too short to be removed, and of all that are removed.
 
     A null text is empty; a null doc_id stays null; repeated rows (same doc_id and text) are one
     document and each give its row; an empty table gives no rows; other columns are ignored.
     """
     keyed, ranges = repeated_ranges(docs, Bytes, False)
     out = keyed.join(ranges, ["k", "th"], "left").select("k", "text", "ranges")
-    schema = "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_seed long"
     got = out.mapInArrow(_without_bytes, schema) if digest else out.mapInArrow(_kept_bytes, schema + ", kept binary")
     return got.select(real_id().alias("doc_id"), *got.columns[1:])

@@ -51,7 +51,17 @@ def words_of(docs):
 
 
 def bytes_of(docs):
-    return sorted(map(tuple, drop_repeated_bytes(docs, digest=True).collect()), key=str)
+    return sorted((tuple(r)[:5] for r in drop_repeated_bytes(docs, digest=True).collect()), key=str)
+
+
+def test_seeds_tell_of_shorter_repeats(make):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    own = lambda n: " ".join(word() for _ in range(n))
+    shared, longer = own(400)[:395], own(200)
+    rows = [(i, f"{own(150)} {shared} {own(150)}" if i < 4 else f"{own(90)} {longer}" if i < 6 else own(300)) for i in range(12)]
+    got = {r["doc_id"]: (r["n_removed"] > 0, r["shares_seed"]) for r in drop_repeated_bytes(make(rows)).collect()}
+    assert got == {i: (4 <= i < 6, int(i < 6)) for i in range(12)}
 
 
 def texts(seed, n, passages, unit):
