@@ -13,6 +13,8 @@ from .common import kept_once, spread_join, stored
 
 #: A shard of more fingerprints is split by further bits.
 SHARD = 2_000
+#: Rows of a small table's file.
+ROWS_PER_FILE = 8192
 #: Shingles of one text that are hashed at a time.
 SLICE = 20_000
 
@@ -226,12 +228,18 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, shard: int = SHARD) -> Da
     return out
 
 
-def components(links: DataFrame) -> DataFrame:
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in as many partitions as about ``ROWS_PER_FILE`` rows each ask for, or as it has: small tables go to few files."""
+    return df.coalesce(rows // ROWS_PER_FILE + 1)
+
+
+def components(links: DataFrame, rows: int = 1 << 40) -> DataFrame:
     """(node, root): for each node of the links (u, v) that isn't its component's smallest, that smallest.
 
     Large-star and small-star rounds until nothing changes; each round is written to the shared
     folder. A round aggregates each node's smallest neighbour before it is joined back, so a hub
-    needs no task of its own. Rounds grow with the logarithm of the longest chain.
+    needs no task of its own. Rounds grow with the logarithm of the longest chain; without links there is none.
+    ``rows`` is about how many links there are at most, if known.
     """
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
@@ -241,28 +249,29 @@ def components(links: DataFrame) -> DataFrame:
             return near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         return near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
 
-    edges = stored(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    state = None
-    while True:
-        edges = stored(star(stored(star(edges, True), "large-star"), False), "small-star")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
+    def summed(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    edges = stored(few_files(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rows), "links")
+    state = summed(edges)
+    while state[0]:
+        edges = stored(few_files(star(star(edges, True), False), state[0]), "stars")
+        state, before = summed(edges), state
+        if state == before:
+            break
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _classed(docs: DataFrame, radius: int, words: int) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, th, fp), and per distinct fingerprint (fp, n, root): its number of rows and its group."""
+def _classed(docs: DataFrame, radius: int, words: int) -> tuple[DataFrame, DataFrame, int]:
+    """The rows (doc_id, th, fp); per distinct fingerprint (fp, n, least, root) its number of rows, smallest doc_id and group; how many rows."""
     text = F.coalesce(docs["text"], F.lit(""))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     prints = stored(rows.mapInArrow(_fingerprints(words), "doc_id long, th long, fp long"), "fingerprints")
-    classes = stored(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), "classes")
-    links = stored(fingerprint_links(classes.select("fp"), radius), "found-links")
-    if links.isEmpty():
-        return prints, classes.withColumn("root", F.col("fp"))
-    roots = components(links)
+    rows = prints.count()
+    classes = stored(few_files(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), rows), "classes")
+    roots = components(fingerprint_links(classes.select("fp"), radius), rows)
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
-    return prints, stored(rooted, "rooted")
+    return prints, rooted, rows
 
 
 def simhash_groups(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFrame:
@@ -273,10 +282,10 @@ def simhash_groups(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFram
     doc_id stays null and is never a component_id unless its component has no other; repeated rows
     each give a row; an empty table gives none; other columns are ignored.
     """
-    prints, classes = _classed(docs, radius, words)
+    prints, classes, rows = _classed(docs, radius, words)
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = classes.join(least, "root").select("fp", "n", "component_id")
-    out = spread_join(prints.select("doc_id", "fp"), stored(named, "named"), ["fp"], "n", prints.count())
+    out = spread_join(prints.select("doc_id", "fp"), stored(few_files(named, rows), "named"), ["fp"], "n", rows)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -288,10 +297,10 @@ def drop_near_copies(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFr
     doc_id stays only if its group has no row with one. A null text counts as empty, and all texts without
     a word are one group; an empty table gives no rows.
     """
-    prints, classes = _classed(docs, radius, words)
+    prints, classes, total = _classed(docs, radius, words)
     # of each fingerprint its first row, ids before none, then of each group the first of those
     rows = prints.groupBy("fp", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("th"))
     first = rows.groupBy("fp").agg(F.min_by(F.struct("doc_id", "th", "n"), order).alias("r")).select("fp", "r.*")
     best = first.join(classes.select("fp", "root"), "fp").groupBy("root").agg(F.min_by(F.struct("doc_id", "th", "n"), order).alias("r"))
-    return kept_once(docs, stored(best.select(F.col("r.doc_id").alias("id"), F.col("r.th").alias("th"), F.col("r.n").alias("n")), "keep"))
+    return kept_once(docs, stored(few_files(best.select(F.col("r.doc_id").alias("id"), F.col("r.th").alias("th"), F.col("r.n").alias("n")), total), "keep"))
