@@ -1,4 +1,10 @@
-"""A corpus from raw documents to packed sequences: each stage works on all that the one before kept."""
+"""A corpus from raw documents to packed sequences: each stage works on all that the one before kept.
+
+Stages take any documents table with doc_id and text (the first also lang); further columns, whatever
+their names, are handed on by all but the last. Rows are told apart by doc_id and text, so rows that
+share a doc_id are judged each, and of rows that repeat both one stays from the second stage on. A null text counts as empty; a
+null doc_id stays null and comes after all ids where one of several rows stays. An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -18,28 +24,31 @@ LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those without a letter, or whose best language is doubtful, go."""
+    """Documents whose language is known; those without a letter (null and empty texts too), or whose best language is doubtful, go.
+
+    Repeated rows are judged alike. Labels are learned from the table itself; without any, every document goes.
+    """
     return keep_identified(docs, train(docs, tokenizer("piece_bpe_32k.model")), LEAST_SCORE)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal normalised texts."""
+    """One row of each group of equal normalised texts: the longest original, then the smallest doc_id, then by text hash."""
     return drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that SimHash links."""
+    """One row of each group that SimHash links: the smallest doc_id, then by text hash; a null doc_id only where no other is."""
     return drop_near_copies(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind; n_chars follows."""
+    """Personal data replaced by its kind; n_chars follows where it is there. Every row stays, null texts stay null."""
     masked = docs.withColumn("text", redact(F.col("text")))
     return masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces and their places in sequences of 4096 tokens."""
+    """The documents' pieces and their places in sequences of 4096 tokens. A null or empty text is its end token alone."""
     return pack(docs, tokenizer("word_bpe_49k.json"))
 
 
