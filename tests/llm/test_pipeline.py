@@ -80,3 +80,23 @@ def test_empty_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_odd_tables_lose_no_text_and_keep_no_copy(spark, odd_rows):
+    english = "the quick brown fox jumps over the lazy dog and runs away from the old house near the river number {} again"
+    rows = [*odd_rows, *((i, english.format(i)) for i in range(100, 160)), (100, english.format(5000)), (100, english.format(5000)), (None, english.format(101)), (None, english.format(7000)), (104, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, k string, th string, digest int, _rl_old int"
+    docs = spark.createDataFrame([(i, t, "en", None, None, "x", "y", 1, 2) for i, t in rows], schema)
+    seen = []
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        docs = stage(spark, docs, SF)
+        seen.append(sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str))
+        assert docs.schema.names == [f.split()[0] for f in schema.split(", ")]
+    assert all(t and any(c.isalpha() for c in t) for _, t in seen[0])
+    plain = [re.sub(r"[\x20\x09-\x0D]", "", t) for _, t in seen[1]]
+    assert len(set(plain)) == len(plain) and set(plain) == {re.sub(r"[\x20\x09-\x0D]", "", t) for _, t in seen[0]}
+    near = corpus_pipeline.near(spark, docs, SF)
+    private = corpus_pipeline.private(spark, near, SF)
+    assert private.count() == near.count() > 0
+    pieces = corpus_pipeline.packed(spark, private, SF).collect()
+    assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in near.collect()}
