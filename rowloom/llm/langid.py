@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from .common import identified_text, stored
 from .pieces import MARK, Automaton, Model
-from .tokens import WORDS_KEPT
 
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Runs of more letters are fitted (not scored) in parts, since forward and backward sums of one need the same scale.
 PART = 48
 #: Positions after which sums are scaled anew, and cells (words times positions) of a lattice.
-STEP, CELLS = 16, 240_000
+STEP, CELLS = 16, 40_000
+#: Words whose scores a worker keeps.
+KEPT = 150_000
 UNKNOWN = 1e-7
 
 
@@ -161,7 +162,7 @@ class Scorer:
         self.used = 1  # row 0: a word without letters
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.rows) + len(words) > WORDS_KEPT:
+        if len(self.rows) + len(words) > KEPT:
             self._clear()
         new = [w for w in words if w not in self.rows]
         numbers: dict[str, int] = {}  # of the distinct parts
@@ -190,11 +191,12 @@ class Scorer:
                 at = end
             np.add.at(self.scores, np.array(owner), logs[np.array(parts)])
 
-    def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+    def predict(self, texts: list[str | None] | pa.Array) -> Iterator[tuple[str, float]]:
         """The language and its score for each text. The score is the posterior (equal priors) with the
         log-likelihoods divided by the root of the number of words, since words are not independent."""
         for at in range(0, len(texts), 500):
-            held = [(t or "").encode("utf-8", "replace").split() for t in texts[at : at + 500]]
+            some = texts[at : at + 500]
+            held = [(t or "").encode("utf-8", "replace").split() for t in (some if isinstance(some, list) else some.to_pylist())]
             self.learn(set().union(*held))
             for words in held:
                 rows = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
@@ -297,7 +299,7 @@ def _predicted(model: LanguageModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(model)
         for b in batches:
-            got = list(scorer.predict(b.column(1).to_pylist()))
+            got = list(scorer.predict(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return run
@@ -319,7 +321,7 @@ def _judged(model: LanguageModel, least: float, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(model)
         for b in batches:
-            got = scorer.predict(b.column(text_at).to_pylist())
+            got = scorer.predict(b.column(text_at))
             yield b.filter(pa.array([lang != "und" and score >= least for lang, score in got], pa.bool_()))
 
     return run
