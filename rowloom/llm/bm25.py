@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed_text, real_id, scratch_path, stored
+from .common import keyed_text, lean, real_id, scratch_path, stored
 
 K1, B = 1.2, 0.75
 #: Scores are sums of whole ten-thousandths, so that no order of summing changes a rank.
@@ -88,7 +88,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     A null text is a document without terms, a null doc_id is kept as ``NULL_ID``, repeated rows are documents each, an
     empty table gives no shards, other columns are ignored.
     """
-    return stored(keyed_text(docs).select("k", "text").mapInArrow(_indexed, _SHARD), "inverted-index")
+    return stored(keyed_text(docs).select("k", "text").mapInArrow(lean("", _indexed), _SHARD), "inverted-index")
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +282,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         t = weighed.where(F.col("block") == block).select("query", "term", "df").toArrow()  # about QUERY_TERMS rows
         df = t.column("df").to_numpy().astype(np.float64)
         q = Queries.of(t.column("query").to_numpy(), t.column("term").to_numpy(), np.log(1 + (n - df + 0.5) / (df + 0.5)), average, k)
-        index.mapInArrow(_searched(q), "query long, doc long, score long").write.mode("append").parquet(path)
+        index.mapInArrow(lean("", _searched(q)), "query long, doc long, score long").write.mode("append").parquet(path)
     out = docs.sparkSession.read.schema("query long, doc long, score long").parquet(path)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), F.col("rank").cast("long").alias("rank"), real_id("doc").alias("doc_id"), (F.col("score") / UNIT).alias("score"))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +67,37 @@ def keyed_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("k"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
+#: What a Python worker keeps from task to task, by operator.
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """The worker's table of an operator, emptied when the worker comes to serve another one."""
+    return _kept.setdefault(owner, {})
+
+
+def lean(owner: str, run):
+    """``run`` over Arrow batches in a worker that forgets what other operators kept and returns freed memory at the end."""
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other, table in _kept.items():
+            if other != owner:
+                table.clear()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(Exception):  # glibc alone has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return held
+
+
+def texts_of(column: pa.Array, rows: int = 500) -> Iterator[str | None]:
+    """The texts of a column, some rows at a time."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
 def identified_text(docs: DataFrame) -> DataFrame:
     """(doc_id, text): the id as it is and the text (null as empty)."""
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import identified_text, stored
+from .common import identified_text, kept, lean, stored
 from .pieces import MARK, Automaton, Model
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -212,7 +212,7 @@ class Scorer:
                 yield self.model.languages[best], float(np.exp(z[best]) / np.exp(z).sum())
 
 
-_scorers: dict[str, Scorer] = {}
+_scorers: dict[str, Scorer] = kept("language")
 
 
 def _scorer(model: LanguageModel) -> Scorer:
@@ -279,10 +279,10 @@ def train(docs: DataFrame, vocab_path: str, rows_per_language: int = 3000, round
     from pyspark.sql import Window
 
     few = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))).where(F.col("rank") <= rows_per_language)
-    words = stored(few.select("lang", "text").mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
+    words = stored(few.select("lang", "text").mapInArrow(lean("", _words), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
     for _ in range(rounds):
         sums = np.full(prob.shape, 0.05)
-        for r in words.mapInArrow(_expected(vocab_path, names, prob), "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).collect():  # at most pieces times languages
+        for r in words.mapInArrow(lean("", _expected(vocab_path, names, prob)), "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).collect():  # at most pieces times languages
             sums[r["piece"], r["lang"]] += r["n"]
         sums[0] = 0.0
         prob = sums / sums.sum(axis=0)
@@ -313,7 +313,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     doc_id stays null and counts as held out; repeated rows each give a row; an empty table gives
     none; other columns are ignored. Ties go to the language first in the alphabet.
     """
-    got = identified_text(docs).mapInArrow(_predicted(model), "doc_id long, lang_pred string, score double")
+    got = identified_text(docs).mapInArrow(lean("language", _predicted(model)), "doc_id long, lang_pred string, score double")
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
@@ -333,4 +333,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5) -
     Null, empty and letterless texts are ``und``; repeated rows are judged alike and each stays or goes; a null
     doc_id matters to nothing; an empty table gives no rows.
     """
-    return docs.mapInArrow(_judged(model, least, docs.columns.index("text")), docs.schema)
+    return docs.mapInArrow(lean("language", _judged(model, least, docs.columns.index("text"))), docs.schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import identified_text
+from .common import identified_text, lean
 from .tokens import WORDS_KEPT, encoder
 
 MARK = "▁"
@@ -291,7 +291,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     A null or empty text has the empty array; a null doc_id stays null; repeated rows each give a row; an
     empty table gives none; other columns are ignored. Texts are never cut.
     """
-    return identified_text(docs).mapInArrow(_encoded(model_path), "doc_id long, ids array<int>")
+    return identified_text(docs).mapInArrow(lean("tokens", _encoded(model_path)), "doc_id long, ids array<int>")
 
 
 def _decoded(path: str):
@@ -310,7 +310,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     Null and empty ids give the empty text, a null doc_id stays null, repeated rows each give a row, an empty
     table gives none, other columns are ignored.
     """
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(_decoded(model_path), "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(lean("tokens", _decoded(model_path)), "doc_id long, text string")
 
 
 def _reported(path: str):
@@ -335,4 +335,4 @@ def encoding_report(docs: DataFrame, model_path: str) -> DataFrame:
     comes back as a blank, as in the library). A null or empty text has no pieces; a null doc_id
     stays null; repeated rows each give a row; an empty table gives none; other columns are ignored.
     """
-    return identified_text(docs).mapInArrow(_reported(model_path), "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
+    return identified_text(docs).mapInArrow(lean("tokens", _reported(model_path)), "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_once, spread_join, stored
+from .common import kept_once, lean, spread_join, stored
 
 #: A shard of more fingerprints is split by further bits.
 SHARD = 2_000
@@ -223,7 +223,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, shard: int = SHARD) -> Da
     parts.append(keyed)
     out = None
     for p in parts:
-        got = p.repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(_shards(radius), "u long, v long")
+        got = p.repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(lean("", _shards(radius)), "u long, v long")
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -266,7 +266,7 @@ def _classed(docs: DataFrame, radius: int, words: int) -> tuple[DataFrame, DataF
     """The rows (doc_id, th, fp); per distinct fingerprint (fp, n, least, root) its number of rows, smallest doc_id and group; how many rows."""
     text = F.coalesce(docs["text"], F.lit(""))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    prints = stored(rows.mapInArrow(_fingerprints(words), "doc_id long, th long, fp long"), "fingerprints")
+    prints = stored(rows.mapInArrow(lean("", _fingerprints(words)), "doc_id long, th long, fp long"), "fingerprints")
     rows = prints.count()
     classes = stored(few_files(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), rows), "classes")
     roots = components(fingerprint_links(classes.select("fp"), radius), rows)

@@ -6,7 +6,7 @@ import hashlib
 import json
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from sys import byteorder
 from unicodedata import is_normalized
 
@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import identified_text, scratch_path, spread_join, stored
+from .common import identified_text, kept, lean, scratch_path, spread_join, stored, texts_of
 
 #: Entries of a generation of a worker's cache of encoded words. Two are kept, so its memory is bounded.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 200_000
 _ENDS = b".,!?;:#$%&*|"
 
 
@@ -121,7 +121,7 @@ class WordEncoder:
         ids = self._packed([t.id for t in self.library.model.tokenize(spelled)])
         return ids if len(core) == len(word) else ids + self.ends[word[len(core) :]]
 
-    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
+    def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text; null gives none."""
         get = self.words.__getitem__
         for t in texts:
@@ -129,7 +129,7 @@ class WordEncoder:
             yield b"".join(map(get, raw.split())) if self.plain else self._whole(raw)
 
 
-_encoders: dict[tuple[str, str], WordEncoder] = {}
+_encoders: dict[tuple[str, str], WordEncoder] = kept("tokens")
 
 
 def encoder(path: str, kind: type = WordEncoder):
@@ -148,7 +148,7 @@ class PieceCounter:
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
 
-    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
+    def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         import numpy as np
 
         for t in texts:
@@ -159,7 +159,7 @@ def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, PieceCounter if path.endswith(".model") else WordEncoder)
         for b in batches:
-            n = [len(i) // 4 for i in e.ids(b.column(1).to_pylist())]
+            n = [len(i) // 4 for i in e.ids(texts_of(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["digest", "n_tokens"])
 
     return run
@@ -188,7 +188,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     seen = _read_cache(spark, cache_path, version)
     contents = docs.select(F.unhex(F.sha2(norm, 256)).alias("digest"), norm.alias("norm"))
     missing = contents if seen is None else contents.join(seen.select("digest"), "digest", "left_anti")
-    encoded = missing.dropDuplicates(["digest"]).select("digest", "norm").mapInArrow(_count(tokenizer_path), "digest binary, n_tokens long")
+    encoded = missing.dropDuplicates(["digest"]).select("digest", "norm").mapInArrow(lean("tokens", _count(tokenizer_path)), "digest binary, n_tokens long")
     encoded.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
     known = stored(sizes.join(_read_cache(spark, cache_path, version).dropDuplicates(["digest"]), "digest"), "known")
     return spread_join(rows, known, ["digest"], "n_rows", rows.count()).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
@@ -208,7 +208,7 @@ def _pieces(path: str, longest: int, end_id: int):
         end = end_id.to_bytes(4, "little")
         for b in batches:
             k, piece, start, length, crc = [], [], [], [], []
-            for doc, ids in zip(b.column(0).to_pylist(), e.ids(b.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), e.ids(texts_of(b.column(1))), strict=True):
                 ids += end
                 for i, at in enumerate(range(0, len(ids), 4 * longest)):
                     part = ids[at : at + 4 * longest]
@@ -228,4 +228,4 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, longest: int = 4096, end_
     A null or empty text is ``end_id`` alone; a null doc_id stays null; repeated rows each give their pieces; an
     empty table gives none; other columns are ignored.
     """
-    return identified_text(docs).mapInArrow(_pieces(tokenizer_path, longest, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return identified_text(docs).mapInArrow(lean("tokens", _pieces(tokenizer_path, longest, end_id)), "doc_id long, piece int, start long, length long, ids_crc32 long")
