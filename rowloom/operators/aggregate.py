@@ -58,7 +58,7 @@ def minmax(frame: Frame, column: str | int = 0, *, positions: bool = False, noca
         kept = rows.where((key == least) | (key == greatest))
         if positions and frame.order != (POS,):
             two = kept.agg(low.alias("min"), high.alias("max"), F.count(F.lit(1)).alias("n"))
-            at = ranks(frame, two.select(F.explode(F.array("min", "max")).alias("at")).where("at is not null").distinct())
+            at = ranks(frame, two.select(F.explode(F.array("min", "max")).alias("at")).where("at is not null").distinct(), few=True)
             kept = at
             # which of both is the first of the least key is known from the rows themselves
             first = two.select((F.col("min") <= F.col("max")).alias("f")).scalar()

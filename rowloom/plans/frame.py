@@ -16,7 +16,7 @@ from .scratch import stored
 POS = "pos"
 #: Frames of at most so many rows (counted, and estimated below so many bytes) are numbered by one window; larger ones by
 #: counts of sorted partitions.
-ONE_WINDOW_ROWS, ONE_WINDOW_BYTES = 100_000, 8 << 20
+ONE_WINDOW_ROWS, ONE_WINDOW_BYTES = 500_000, 8 << 20
 #: Rows whose positions are found by counting what comes before each, in one pass and without a sort.
 FEW_ROWS = 1000
 _NAME = re.compile(r"[^\W\d][-\w]*\Z")
@@ -46,14 +46,15 @@ def number(df: DataFrame, keys: Sequence[Column | str], name: str = POS, distrib
     return held.withColumn(name, start + F.col(_AT).bitwiseAND(F.lit((1 << 33) - 1))).drop(_AT)
 
 
-def ranks(frame: Frame, firsts: DataFrame) -> DataFrame:
+def ranks(frame: Frame, firsts: DataFrame, few: bool = False) -> DataFrame:
     """``firsts`` with ``pos``: the positions in the frame of rows given by ``at``, the struct of their order columns.
 
     Up to ``FEW_ROWS`` of them are sent to the scan as one sorted array, which counts how many rows stand
-    before each: one pass without a sort. For more, the whole frame is numbered.
+    before each: one pass without a sort. For more, the whole frame is numbered. ``few`` says that they are
+    known to be few.
     """
     order = F.struct(*(F.col(o) for o in frame.order))
-    if firsts.limit(FEW_ROWS + 1).count() > FEW_ROWS:
+    if not few and firsts.limit(FEW_ROWS + 1).count() > FEW_ROWS:
         rows = frame.numbered().select(order.alias("at"), F.col(POS))
         return firsts.join(rows, "at")
     sorted_firsts = firsts.select(F.sort_array(F.collect_set("at")).alias("all")).scalar()
