@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 #: A key that holds over 1 / HOT of all rows is hot. There are fewer than HOT such keys, whatever the table.
 HOT = 1000
+#: Stored bytes of text whose results share a file.
+PARTITION_BYTES = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -114,6 +116,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def sized(df: DataFrame, source: DataFrame) -> DataFrame:
+    """``df`` in one partition for every ``PARTITION_BYTES`` that Catalyst estimates ``source`` to have, or in as many as it has."""
+    size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.coalesce(min(size // PARTITION_BYTES + 1, 1_000_000))
+
+
 def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``facts``, which have one row per key and in ``size`` the key's number of rows.
 

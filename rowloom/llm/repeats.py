@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_text, lean, stored
+from .common import keyed_text, lean, sized, stored
 
 #: Bytes of text that a task merges before it emits rows.
 MERGED_BYTES = 3_000_000
@@ -322,7 +322,7 @@ def repeated_ranges(docs: DataFrame, kind: type[Batch], first_stays: bool) -> tu
     keyed = keyed_text(docs).withColumn("th", F.col("th").bitwiseAND(F.lit(0xFFFFFFFF)))
     order = ["key", "h", "k", "pos"]
     one = keyed.select("k", "th", "text").mapInArrow(lean("", _emit(kind, first_stays)), _ROW)
-    told = stored(one.repartition("key").sortWithinPartitions(*order).mapInArrow(lean("", _settle(first_stays, True)), _RANGE), "blocks")
+    told = stored(sized(one.repartition("key").sortWithinPartitions(*order).mapInArrow(lean("", _settle(first_stays, True)), _RANGE), docs), "blocks")
     contested = told.where(F.col("state") == CONTESTED).groupBy("k", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     texts = keyed.join(contested, ["k", "th"]).select("k", "th", "text", "ranges")
     two = texts.mapInArrow(lean("", _windows(kind, first_stays)), _ROW).repartition("key").sortWithinPartitions(*order).mapInArrow(lean("", _settle(first_stays, False)), _RANGE)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import real_id
+from .common import real_id, sized
 from .repeats import Bytes, Words, covered, repeated_ranges
 
 
@@ -45,7 +45,7 @@ def drop_repeated_words(docs: DataFrame, digest: bool = False) -> DataFrame:
     out = keyed.join(ranges, ["k", "th"], "left").select("k", "text", "ranges")
     last = "kept_sha256" if digest else "kept_text"
     got = out.mapInArrow(_hashed_words if digest else _kept_words, f"k long, n_words long, n_removed long, {last} string")
-    return got.select(real_id().alias("doc_id"), "n_words", "n_removed", last)
+    return sized(got.select(real_id().alias("doc_id"), "n_words", "n_removed", last), docs)
 
 
 def _kept_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,4 +91,4 @@ def drop_repeated_bytes(docs: DataFrame, digest: bool = False) -> DataFrame:
     out = keyed.join(ranges, ["k", "th"], "left").select("k", "text", "ranges")
     schema = "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_seed long"
     got = out.mapInArrow(_without_bytes, schema) if digest else out.mapInArrow(_kept_bytes, schema + ", kept binary")
-    return got.select(real_id().alias("doc_id"), *got.columns[1:])
+    return sized(got.select(real_id().alias("doc_id"), *got.columns[1:]), docs)
