@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -85,4 +89,3 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash, op2_bm25, op3_token_counts, op4_sentencepiece, op5_language_id, op6_pii, op7_substring_dedup, op8_suffix_dedup, op9_packing, op10_exact_dedup)}
-ORACLES: dict[str, str] = {}
