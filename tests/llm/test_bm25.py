@@ -3,9 +3,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from rowloom.llm import bm25
-from rowloom.llm.bm25 import Queries, Shard, _shard_row, terms_of, top_k
+from rowloom.llm.bm25 import Best, Kinds, Queries, Shard, _shard_row, terms_of, top_k
 
 
 def brute(rows, queries, k):
@@ -92,3 +94,85 @@ def test_odd_rows(make, spark, odd_rows):
     none = spark.createDataFrame([], "query_id long, text string")
     assert top_k(make(odd_rows), none).collect() == []
     assert top_k(make([]), spark.createDataFrame(queries, "query_id long, text string")).collect() == []
+
+
+def test_kinds_of_texts_do_not_share_shards():
+    rng = random.Random(3)
+    vocab = [[f"{c}{int(rng.paretovariate(0.7))}" for _ in range(3000)] for c in "pqr"]
+    of = [rng.choice((0, 0, 1, 2)) for _ in range(600)]
+    texts = [" ".join(rng.choices(vocab[j], k=80)) for j in of]
+    found = Kinds(texts).of(texts)
+    assert len(set(found)) == len(set(zip(of, found, strict=True))) == 3
+    assert set(Kinds(texts[:1]).of([None, "", *texts])) == {0}
+    one = [t for t, j in zip(texts, of, strict=True) if j == 0]
+    assert set(Kinds(one).of(one)) == {0}
+
+
+@pytest.mark.parametrize("small", [{}, {"LOOSE": 1}, {"LOOSE": 10**9}, {"DENSE_SIZE": 5000}, {"LISTED": 2000, "AT_ONCE": 100}, {"LISTS": 0}, {"LISTS": 10**9, "TOGETHER": 3}])
+@pytest.mark.parametrize("warm", [False, True])
+def test_queries_searched_together(monkeypatch, small, warm):
+    for name, n in small.items():
+        monkeypatch.setattr(bm25, name, n)
+    rng = random.Random(4)
+    vocab = [f"w{int(rng.paretovariate(0.4))}" for _ in range(3000)]
+    rows = [(i, " ".join(rng.choices(vocab, k=rng.randint(0, 120)))) for i in range(500)]
+    asked = [r for r in rows if r[0] % 20 == 0] + [(900, " ".join(sorted(set(vocab)))), (901, "w1"), (902, "none")]
+    df = Counter(w for _, t in rows for w in set(terms_of(t)))
+    n, average = len(rows), sum(len(terms_of(t)) for _, t in rows) / len(rows)
+    pairs = [(i, w) for i, t in asked for w in set(terms_of(t)) if df[w]]
+    q = Queries.of(np.array([i for i, _ in pairs]), np.array([bm25.term_hash(w) for _, w in pairs], np.uint64).view(np.int64), np.array([math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) for _, w in pairs]), average, 10)
+    want = brute(rows, asked, 10)
+    least = np.ones(len(q.ids), np.int64)
+    if warm:  # scores that ten documents are known to reach
+        for i, r, _, s in want:
+            if r == 10:
+                least[np.searchsorted(q.ids, i)] = round(s * 10_000)
+    best = Best(least, 10)
+    for at in range(0, n, 200):
+        Shard(_shard_row([i for i, _ in rows[at : at + 200]], [t for _, t in rows[at : at + 200]]), q).search_all(q.places, q.starts, best)
+    rank = np.arange(len(best.query)) - np.searchsorted(best.query, best.query) + 1
+    assert sorted(zip(q.ids[best.query].tolist(), rank.tolist(), best.doc.tolist(), (best.score / 10_000).tolist(), strict=True), key=str) == want
+
+
+def test_long_sums_stay_whole():
+    rows = [(i, " ".join(f"t{j}" for j in range(4000) if (i + j) % 9 == 0)) for i in range(90)]  # each term in a ninth of them
+    asked = [(1000, " ".join(f"t{j}" for j in range(4000)))]
+    terms = [f"t{j}".encode() for j in range(4000)]
+    q = Queries.of(np.full(4000, 1000), np.array([bm25.term_hash(w) for w in terms], np.uint64).view(np.int64), np.full(4000, math.log(1 + 80.5 / 10.5)), 4000 / 9, 10)
+    shard = Shard(_shard_row([i for i, _ in rows], [t for _, t in rows]), q)
+    best = Best(np.ones(1, np.int64), 10)
+    shard.search_all(q.places, q.starts, best)
+    assert [(1000, r + 1, d, s / 10_000) for r, (d, s) in enumerate(zip(best.doc.tolist(), best.score.tolist(), strict=True))] == sorted(brute_at(rows, asked, 4000 / 9), key=lambda x: x[1])
+
+
+def brute_at(rows, queries, average):
+    assert abs(sum(len(terms_of(t)) for _, t in rows) / len(rows) - average) < 1
+    return brute(rows, queries, 10)
+
+
+def test_first_shards_raise_what_hits_must_reach(make, spark, monkeypatch):
+    rng = random.Random(6)
+    vocab = [f"w{int(rng.paretovariate(0.7))}" for _ in range(2000)]
+    rows = [(i, " ".join(rng.choices(vocab, k=rng.randint(0, 80)))) for i in range(400)]
+    queries = [r for r in rows if r[0] % 10 == 0]
+    monkeypatch.setattr(bm25, "FIRST", 1)
+    got = top_k(make(rows).repartition(5), spark.createDataFrame(queries, "query_id long, text string"), 3).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, queries, 3)
+
+
+def test_shards_of_like_texts_have_fewer_postings_looked_at(spark):
+    rows = documents(spark, "sf0.1")
+    asked = [(i, w) for i, t in rows if i % 100 == 0 for w in set(terms_of(t))]
+    df = Counter(w for _, t in rows for w in set(terms_of(t)))
+    n, average = len(rows), sum(len(terms_of(t)) for _, t in rows) / len(rows)
+    h = np.array([bm25.term_hash(w) for _, w in asked], np.uint64).view(np.int64)
+    q = Queries.of(np.array([i for i, _ in asked]), h, np.array([math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) for _, w in asked]), average, 10)
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], ["k", "text"])
+    shards = [Shard(r, q) for b in bm25._indexed(iter([batch])) for r in b.to_pylist()]
+    assert sorted(d for s in shards for d in s.docs.tolist()) == sorted(i for i, _ in rows)
+    best = Best(np.ones(len(q.ids), np.int64), 10)
+    for s in shards:
+        s.search_all(q.places, q.starts, best)
+    assert [(int(q.ids[j]), d, s / 10_000) for j, d, s in zip(best.query, best.doc.tolist(), best.score.tolist(), strict=True)] == [(i, d, s) for i, _, d, s in sorted(searched(rows, 4096)[0])]
+    looked = sum(s.scored for s in shards) / sum(s.postings for s in shards)
+    assert looked < 0.36, looked
